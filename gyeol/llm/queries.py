@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyeol.llm import quality, splitting
-from gyeol.llm.textio import table
+from gyeol.llm import encoding, frequency, quality, splitting, visual
+from gyeol.llm.textio import materialised, sized_join, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -61,3 +61,88 @@ def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.text_statistics(table(spark, sf_dir, "passages"), "id", "raw")
     return stats.where(F.col("form").isin("list", "table", "junk")).select(F.col("id").alias("passage_id"), "form")
+
+
+RARE_BELOW, COMMON_SHARE, VALUE_COMMON = 3, 0.05, 5
+
+
+def _entry_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passages = table(spark, sf_dir, "passages")
+    terms = frequency.term_containers(passages, "id", "display", "display")
+    values = passages.where(F.length("compact") > 0).select("id", frequency.value_key("compact").alias("value"))
+    return materialised(frequency.entry_statistics(terms.unionByName(frequency.term_containers(values, "id", "value", "compact", lambda t: [t]))))
+
+
+def _marked(spark: SparkSession, sf_dir: str, only_marked: bool) -> DataFrame:
+    stats = _entry_statistics(spark, sf_dir)
+    terms = frequency.marked(stats, "display", RARE_BELOW, lambda n: int(n * COMMON_SHARE) + 1)
+    values = frequency.marked(stats, "compact", None, lambda n: VALUE_COMMON)
+    if only_marked:
+        terms, values = terms.where("mark IS NOT NULL"), materialised(values.where("mark IS NOT NULL"))
+    # the value itself comes from the first record that has it
+    text = table(spark, sf_dir, "passages").where(F.length("compact") > 0).select(F.col("id").alias("first_id"), F.col("compact"))
+    if only_marked:
+        text = sized_join(text, values.select("first_id").distinct(), ["first_id"], "left_semi", values.count())
+    text = text.groupBy("first_id").agg(F.min("compact").alias("compact"))
+    values = values.join(text, "first_id").select("field", F.col("compact").alias("entry"), "occurrences", "records", "mark")
+    return terms.select("field", "entry", "occurrences", "records", "mark").unionByName(values)
+
+
+@query
+def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of display and every whole compact value, with its occurrences and passages."""
+    return _marked(spark, sf_dir, False)
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked(spark, sf_dir, True).select("field", "entry", "mark")
+
+
+ORACLE["p3_statistics"] = r"""
+WITH p AS (SELECT DISTINCT id, display, compact FROM passages),
+n AS (SELECT count(DISTINCT id) AS n FROM p WHERE display IS NOT NULL),
+t AS (SELECT id, unnest(regexp_extract_all(display, '[가-힣]{2,}')) AS entry FROM p),
+d AS (SELECT entry, count(*) AS occurrences, count(DISTINCT id) AS records FROM t GROUP BY entry),
+v AS (SELECT compact AS entry, count(DISTINCT id) AS records FROM p WHERE length(compact) > 0 GROUP BY compact)
+SELECT 'display' AS field, entry, occurrences, records, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.05 * n THEN 'common' END AS mark FROM d, n
+UNION ALL SELECT 'compact', entry, records, records, CASE WHEN records >= 5 THEN 'common' END FROM v"""
+ORACLE["p3_found"] = f"SELECT field, entry, mark FROM ({ORACLE['p3_statistics']}) WHERE mark IS NOT NULL"
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, id, stored, form (digests of 16 bytes) of every passage and page with something to see, one row for each id."""
+    passages = table(spark, sf_dir, "passages").select(F.lit("passages").alias("src"), "id", F.col("raw").alias("text"))
+    pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("src"), "id", "text")
+    items = passages.unionByName(pages).where("text IS NOT NULL").withColumn("stored", F.unhex(F.md5("text")))
+    forms = visual.consistent_form(items, "text", ["src", "id", "stored"]).where("form <> ''")
+    return materialised(forms.select("src", "id", "stored", F.unhex(F.md5("form")).alias("form")).distinct())
+
+
+@query
+def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every passage."""
+    return visual.consistent_form(table(spark, sf_dir, "passages"), "raw", ["id"])
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of ids whose texts share a form but not the stored characters.
+
+    Only forms with two or more stored variants enter the join, and it joins variants, whose ids follow at the end.
+    """
+    forms = _forms(spark, sf_dir)
+    several = forms.groupBy("src", "form").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).where("a <> b").select("src", "form")
+    members = materialised(forms.join(several, ["src", "form"]))
+    variants = members.select("src", "form", "stored").distinct()
+    other = variants.select("src", "form", F.col("stored").alias("stored_b"))
+    pairs = variants.join(other, ["src", "form"]).where("stored < stored_b").drop("form")
+    a = members.select("src", "stored", F.col("id").alias("a"))
+    b = members.select("src", F.col("stored").alias("stored_b"), F.col("id").alias("b"))
+    both = pairs.join(a, ["src", "stored"]).join(b, ["src", "stored_b"]).where("a <> b")
+    return both.select("src", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+
+
+@query
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"])
