@@ -244,6 +244,17 @@ def _counted(df: DataFrame, key: str, kind: str, text: str, chunk: int) -> DataF
     return short.unionByName(long)
 
 
+def junk_rule(c):
+    """Whether there is nothing to read in a text, from its counts: c gives a count by name, as a column or as an array."""
+    return (
+        (c("mojibake") > 0.3 * c("visible"))
+        | (c("strokes") > 0.35 * c("visible"))
+        | ((c("rare_hangul") > 0.3 * c("hangul")) & (c("hangul") > 0.2 * c("visible")) & (c("hangul") > 3))
+        | ((c("symbols") + c("noisy_words") > 0.12 * c("visible")) & (c("latin") > 0.4 * c("visible")) & (c("single_letter_words") + c("noisy_words") > 0.35 * c("words")))
+        | ((c("letters") + c("digits") < 0.3 * c("visible")) & (c("table_lines") == 0))
+    )
+
+
 def text_statistics(df: DataFrame, key: str, text: str, chunk: int = CHUNK) -> DataFrame:
     """One row for every distinct key: counts, ratios and `form` (prose, list, table, junk, or null for a blank text).
 
@@ -261,13 +272,7 @@ def text_statistics(df: DataFrame, key: str, text: str, chunk: int = CHUNK) -> D
         ratio("word_chars", "words").alias("mean_word_length"), ratio("symbols", "visible").alias("symbol_ratio"), ratio("ended_lines", "lines").alias("ended_line_share"),
         ratio("common_words", "words").alias("common_word_share"), ratio("rare_hangul", "hangul").alias("rare_hangul_share"), ratio("digits", "visible").alias("digit_ratio"),
     )
-    junk = (
-        (c("mojibake") > 0.3 * c("visible"))
-        | (c("strokes") > 0.35 * c("visible"))
-        | ((c("rare_hangul") > 0.3 * c("hangul")) & (c("hangul") > 0.2 * c("visible")) & (c("hangul") > 3))
-        | ((c("symbols") + F.greatest(c("noisy_words") - 1, F.lit(0)) > 0.12 * c("visible")) & (c("latin") > 0.4 * c("visible")) & (c("single_letter_words") + c("noisy_words") > 0.35 * c("words")))
-        | ((c("letters") + c("digits") < 0.3 * c("visible")) & (c("table_lines") == 0))
-    )
+    junk = junk_rule(c)
     form = (
         F.when(c("visible").isNull() | (c("visible") == 0), None)
         .when(junk, "junk")

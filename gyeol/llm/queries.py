@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyeol.llm import encoding, frequency, quality, splitting, visual
+from gyeol.llm import encoding, frequency, quality, sentences, splitting, visual
 from gyeol.llm.textio import materialised, sized_join, table
 
 QUERIES: dict = {}
@@ -146,3 +146,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+@query
+def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(_passages_and_chunks(spark, sf_dir, "display"), "text", ["src", "item_id"])
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_sentences(spark, sf_dir).select("src", "item_id", "end_pos").distinct()
