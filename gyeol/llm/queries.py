@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyeol.llm import encoding, frequency, quality, sentences, splitting, visual
+from gyeol.llm import encoding, frequency, quality, sentences, spam, splitting, visual
 from gyeol.llm.textio import materialised, sized_join, table
 
 QUERIES: dict = {}
@@ -156,3 +156,13 @@ def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_sentences(spark, sf_dir).select("src", "item_id", "end_pos").distinct()
+
+
+@query
+def p10_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.coherence(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.stuffed(table(spark, sf_dir, "documents"), "doc_id", "text")
