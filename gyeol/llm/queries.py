@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyeol.llm import encoding, frequency, quality, sentences, spam, splitting, visual
+from gyeol.llm import encoding, frequency, neighbours, quality, sentences, spam, splitting, visual
 from gyeol.llm.textio import materialised, sized_join, table
 
 QUERIES: dict = {}
@@ -166,3 +166,15 @@ def p10_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.stuffed(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar digests of each digest, down to a similarity of 0.9."""
+    return neighbours.neighbours(table(spark, sf_dir, "vectors"), "digest", "vector")
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p6_neighbours(spark, sf_dir)
+    return near.select(F.least("digest", "neighbour").alias("digest_a"), F.greatest("digest", "neighbour").alias("digest_b")).distinct()

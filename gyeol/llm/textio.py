@@ -15,6 +15,9 @@ BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in ("vectors", "embeddings"):
+        # floats stored by BYTE_STREAM_SPLIT: only the row-wise reader of nested columns knows that encoding
+        spark.conf.set("spark.sql.parquet.enableNestedColumnVectorizedReader", "false")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
