@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyeol.llm import encoding, frequency, neighbours, quality, sentences, spam, splitting, visual
+from gyeol.llm import encoding, frequency, neighbours, packing, quality, sentences, spam, splitting, visual
 from gyeol.llm.textio import materialised, sized_join, table
 
 QUERIES: dict = {}
@@ -178,3 +178,17 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = p6_neighbours(spark, sf_dir)
     return near.select(F.least("digest", "neighbour").alias("digest_a"), F.greatest("digest", "neighbour").alias("digest_b")).distinct()
+
+
+@query
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every piece of every document."""
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumnRenamed("item", "doc_id")
+
+
+@query
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    bins = p9_containers(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    capacity = F.lit(packing.CAPACITY)
+    return bins.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * capacity)).alias("share_used"))
