@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyeol.llm import encoding, frequency, neighbours, packing, quality, sentences, spam, splitting, visual
+from gyeol.llm import encoding, frequency, neighbours, packing, quality, scan_noise, sentences, spam, splitting, visual
 from gyeol.llm.textio import materialised, sized_join, table
 
 QUERIES: dict = {}
@@ -192,3 +192,27 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = p9_containers(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("used"))
     capacity = F.lit(packing.CAPACITY)
     return bins.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * capacity)).alias("share_used"))
+
+
+def _scanned_texts(spark: SparkSession, sf_dir: str, display: bool = False) -> DataFrame:
+    books = table(spark, sf_dir, "books").groupBy(F.col("id").alias("book_id")).agg(F.min("title").alias("title"))
+    pages = table(spark, sf_dir, "pages").select("book_id", F.lit("pages").alias("src"), F.col("id").alias("item_id"), "text", F.lit(True).alias("page"))
+    pages = sized_join(pages, books, ["book_id"], "left").select("src", "item_id", "text", "title", "page")
+    passages = table(spark, sf_dir, "passages")
+    none = F.lit(None).cast("string").alias("title")
+    raw = passages.select(F.lit("passages").alias("src"), F.col("id").alias("item_id"), F.col("raw").alias("text"), none, F.lit(False).alias("page"))
+    texts = pages.unionByName(raw)
+    if display:
+        texts = texts.unionByName(passages.select(F.lit("display").alias("src"), F.col("id").alias("item_id"), F.col("display").alias("text"), none, F.lit(False).alias("page")))
+    return texts
+
+
+@query
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repaired paragraphs of every page and of raw and display of every passage."""
+    return scan_noise.repaired_texts(_scanned_texts(spark, sf_dir, display=True), ["src", "item_id"], "text", "title", "page")
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.noise(_scanned_texts(spark, sf_dir), ["src", "item_id"], "text", "title", "page")[0]
