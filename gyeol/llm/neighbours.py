@@ -20,8 +20,9 @@ DIMENSIONS = 128
 ROTATIONS = 2
 #: The rotations are learned on at most so many vectors, taken by the hash of their digest; every vector is indexed.
 SAMPLE = 20_000
-#: Bits in which a candidate's codes may differ before the floats are looked at.
-RADIUS = 96
+#: Bits in which a candidate's codes may differ before the floats are looked at: at a cosine of 0.9 codes differ in 37
+#: bits of 256 on average, with a deviation of 6; unrelated vectors in 128.
+RADIUS = 64
 #: A bucket with more codes is compared block by block, each pair of blocks in a task of its own.
 BLOCK = 4096
 _FLIPS = np.array([0, *(1 << i for i in range(8))], dtype=np.uint8)
@@ -96,13 +97,11 @@ def candidates(reps: DataFrame, rotations: list[np.ndarray], radius: int = RADIU
         mine = F.pmod(F.xxhash64("rid"), blocks)
         rows = rows.select("bucket", "rid", "code", mine.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other"))
         rows = rows.select("bucket", "rid", "code", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    else:
-        rows = rows.select("bucket", "rid", "code", F.lit(0).alias("own"), F.lit(0).alias("x"), F.lit(0).alias("y"))
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         rid = group.column("rid").to_numpy()
-        own, x, y = (group.column(c).to_numpy() for c in ("own", "x", "y"))
+        own, x, y = (group.column(c).to_numpy() for c in ("own", "x", "y")) if hot else [np.zeros(len(rid), dtype=np.int8)] * 3
         codes = np.frombuffer(b"".join(group.column("code").to_pylist()), dtype=np.uint8).reshape(len(rid), size)
         byte = int(group.column("bucket")[0].as_py()) // 256
         other = codes[:, byte ^ 1]
@@ -121,7 +120,7 @@ def candidates(reps: DataFrame, rotations: list[np.ndarray], radius: int = RADIU
         none = np.zeros(0, dtype=np.int64)
         return pa.table({"a": pa.array(np.concatenate(found_a or [none])), "b": pa.array(np.concatenate(found_b or [none]))})
 
-    return rows.groupBy("bucket", "x", "y").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return rows.groupBy(*(["bucket", "x", "y"] if hot else ["bucket"])).applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def _index_batch(bucket: np.ndarray, rid: np.ndarray, codes: np.ndarray, size: int) -> pa.RecordBatch:
