@@ -163,26 +163,15 @@ def canonical(texts: list[str]) -> list[str]:
     return [whole[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
 
 
-def needs_mapping() -> str:
-    """A pattern (of Java) of the characters and spacings for which canonical() changes a text."""
-    place = mapping()[0]
-    marked = np.flatnonzero((place >= 0) | (marks() > 0))
-    ranges, lo = [], None
-    jamo = range(0x1100, 0x1200)
-    for o in sorted({*marked.tolist(), *jamo}) + [1 << 30]:
-        if lo is not None and o == hi + 1:  # noqa: F821
-            hi = o
-            continue
-        if lo is not None:
-            ranges.append(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}")
-        lo = hi = o
-    return f"[{''.join(ranges)}]|  |(?:^|\\n) | (?:\\n|$)"
+#: A text of only these characters, without runs of spaces and spaces at the ends of lines, is its own form.
+STABLE = r"\n -~가-힣一-鿿ぁ-ゖァ-ヺก-ะเ-ๆ。、「」『』“”‘’·…"
+NEEDS_MAPPING = rf"[^{STABLE}]|  |(?:^|\n) | (?:\n|$)"
 
 
 def consistent_form(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """keys and `form`, the consistent form of text; null for null, empty for a text without anything to see."""
     df = df.select(*keys, F.col(text).alias("_text"))
-    touched = F.col("_text").rlike(needs_mapping())
+    touched = F.col("_text").rlike(NEEDS_MAPPING)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
