@@ -1,2 +1,104 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Evidence, answers, metrics and projections."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gyeol.functions.text import split_sentences
+from gyeol.operators import evaluate, evidence
+from gyeol.queries.registry import Registry
+from gyeol.sources import table
+
+query = Registry()
+QUERIES, ORACLE = query.queries, query.oracle
+
+_WORDS = ("운율", "방언", "모음", "문해력")
+_RANKS = "r AS (" + " UNION ALL ".join(
+    f"SELECT 'q' AS question, {i} AS grp, g.book_id, p.id, length(p.raw) AS chars, (length(compact) - length(replace(compact, '{w}', ''))) // {len(w)} AS hits FROM (SELECT DISTINCT id, page_id, raw, compact FROM passages) p JOIN (SELECT DISTINCT id, book_id FROM pages) g ON p.page_id = g.id WHERE contains(compact, '{w}')"
+    for i, w in enumerate(_WORDS)
+) + "), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY hits DESC, id) - 1 AS rank FROM r)"
+
+
+def _searches(spark: SparkSession, d: str) -> DataFrame:
+    """Results of four searches for one question: question, grp, book_id, id, chars, rank; the forty best of each."""
+    pages = table(spark, d, "pages").select(F.col("id").alias("page_id"), "book_id").distinct()
+    p = table(spark, d, "passages").select("id", "page_id", "raw", "compact").distinct()
+    p = p.withColumn("g", F.explode(F.array(*(F.when(F.contains("compact", F.lit(w)), F.struct(F.lit(i).alias("grp"), F.lit(w).alias("w"))) for i, w in enumerate(_WORDS))))).where("g IS NOT NULL")
+    hits = ((F.length("compact") - F.length(F.replace("compact", F.col("g.w"), F.lit("")))) / F.length("g.w")).cast("int")
+    rows = p.select("id", "page_id", F.length("raw").alias("chars"), "g.grp", hits.alias("hits"))
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("hits"), "id")) - 1
+    top = rows.withColumn("rank", rank).where("rank < 40")
+    return top.join(pages, "page_id").select(F.lit("q").alias("question"), "grp", "book_id", "id", "chars", "rank")
+
+
+@query(f"""WITH {_RANKS}, o AS (SELECT *, row_number() OVER (PARTITION BY question, book_id ORDER BY rank >= 8, rank, grp, id) AS b FROM k WHERE rank < 40)
+SELECT id, grp, rank, row_number() OVER (PARTITION BY question ORDER BY b > 11, rank >= 8, rank, grp, id) AS place FROM o QUALIFY place <= 24""")
+def round_robin(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.round_robin(_searches(spark, d), "question", "book_id", "rank", "grp").select("id", "grp", "rank", "place")
+
+
+@query(f"WITH {_RANKS} SELECT id, row_number() OVER (ORDER BY min((rank, grp))) AS rank FROM k WHERE rank < 40 GROUP BY id")
+def interleave_lists(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.interleaved(_searches(spark, d), "grp", "rank", "id", ["question"]).select("id", "rank")
+
+
+@query()
+def evidence_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Round robin, then greedily what fits under pages and characters."""
+    chosen = evidence.round_robin(_searches(spark, d), "question", "book_id", "rank", "grp")
+    return evidence.within_budget(chosen, "question", "place", "chars", pages=16, most=3000).select("id", "place", "chars")
+
+
+@query(f"WITH {_RANKS} SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY rank, grp, id) AS nth, id FROM k WHERE rank < 40")
+def position_within_book(spark: SparkSession, d: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("book_id").orderBy("rank", "grp", "id"))
+    return _searches(spark, d).select("book_id", nth.alias("nth"), "id")
+
+
+_RESULTS = [("name", "a", 1), ("name", "b", 4), ("name", "c", None), ("name", "d", 2), ("paraphrase", "a", 9), ("paraphrase", "b", 3), ("paraphrase", "b", 1)]
+
+
+@query("""WITH r(mode, query, rank) AS (VALUES ('name','a',1),('name','b',4),('name','c',NULL),('name','d',2),('paraphrase','a',9),('paraphrase','b',3),('paraphrase','b',1)), f AS (SELECT mode, query, min(rank) AS r FROM r GROUP BY ALL)
+SELECT mode, avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END) AS hit1, avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0 END) AS hit3, avg(CASE WHEN r <= 8 THEN 1.0 ELSE 0 END) AS hit8, round(avg(coalesce(1 / r, 0)), 6) AS mrr, count(*) AS queries FROM f GROUP BY mode""")
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(_RESULTS, "mode string, query string, rank int")
+    return evaluate.retrieval_metrics(rows, "mode", "query", "rank").withColumn("mrr", F.round("mrr", 6))
+
+
+@query()
+def best_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """For each chunk the sentence of its passage that shares most with the chunk's excerpt."""
+    claims = table(spark, d, "chunks").where("excerpt IS NOT NULL").select("passage_id", F.col("id").alias("claim_id"), F.col("excerpt").alias("claim")).distinct()
+    p = table(spark, d, "passages").where("display IS NOT NULL").select(F.col("id").alias("passage_id"), "display").distinct()
+    quotes = p.select("passage_id", F.explode(split_sentences(F.col("display"))).alias("quote"))
+    return evidence.best_quote(claims, quotes, "passage_id").select("passage_id", "claim_id", F.md5("quote").alias("quote"), F.round("score", 4).alias("score"))
+
+
+_SOURCES = [("S1", "모음은 공기의 흐름이 막히지 않고 나는 소리이다. 자음은 흐름이 막혀 나는 소리이다."), ("S2", "운율은 소리의 규칙적인 되풀이에서 생긴다. 운율은 시의 느낌을 만든다.")]
+_ANSWER = (
+    '{"id":"a1","title":"소리","insufficient":false,"sections":[{"title":"소리","points":[{"text":"모음의 뜻","citations":[{"source":"S1","quote":"모음은 공기의 흐름이 막히지 않고 나는 소리이다."}]},'
+    '{"text":"없는 말","citations":[{"source":"S2","quote":"운율은 글자의 모양에서 생긴다고 널리 알려져 있다."}]},{"text":"출처 없음","citations":[]},'
+    '{"text":"모르는 출처","citations":[{"source":"S1","quote":""},{"source":"S9","quote":""}]},{"text":"빈 인용","citations":[{"source":"S2","quote":""}]}]}]}'
+)
+
+
+@query("SELECT * FROM (VALUES ('a1', 0, '모음의 뜻', true), ('a1', 1, '없는 말', false), ('a1', 2, '출처 없음', false), ('a1', 3, '모르는 출처', false), ('a1', 4, '빈 인용', true)) t(id, point, text, valid)")
+def citation_validation(spark: SparkSession, d: str) -> DataFrame:
+    answers = spark.createDataFrame([(_ANSWER,)], "j string").select(F.from_json("j", evidence.ANSWER).alias("a")).select("a.*")
+    sources = spark.createDataFrame(_SOURCES, "source string, text string")
+    return evidence.validated(evidence.claims_of(answers), sources).select("id", "point", "text", "valid")
+
+
+@query("SELECT * FROM (VALUES ('t2', '국어교육론', 3)) t(key, stem, volume)")
+def volume_check(spark: SparkSession, d: str) -> DataFrame:
+    texts = spark.createDataFrame([("t1", "국어교육론 2를 보라"), ("t2", "국어교육론 3에 있다"), ("t3", "문학사전집 7")], "key string, text string")
+    books = spark.createDataFrame([("국어교육론", 1), ("국어교육론", 2)], "stem string, volume int")
+    return evidence.volumes_missing(texts, books, "key", "text")
+
+
+@query("SELECT doc_id, source, category, n_chars FROM documents WHERE category IS NOT NULL")
+def closed_projection(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader without rights sees: an allow list of fields, the text dropped from the nested row."""
+    row = F.struct("doc_id", "source", "category", "n_chars", "text", "lang")
+    return table(spark, d, "documents").where("category IS NOT NULL").select(row.alias("r")).select(F.col("r").dropFields("text", "lang").alias("r")).select("r.*")

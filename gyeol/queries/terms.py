@@ -1,2 +1,151 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Index entries, labels, catalogue, definitions and concepts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gyeol.functions.text import split_sentences
+from gyeol.operators import terms
+from gyeol.plans import question
+from gyeol.queries.registry import Registry
+from gyeol.sources import table
+
+query = Registry()
+QUERIES, ORACLE = query.queries, query.oracle
+
+_RUN = r"[0-9ZzlIOo]{1,4}(?:\s*[-–~]\s*[0-9ZzlIOo]{1,4})?"
+_ENTRY = rf"^\s*(\S.*?\S|\S)\s{{2,}}({_RUN}(?:\s*[,，]\s*{_RUN})*)\s*$"
+_ENTRIES = rf"""l AS (SELECT DISTINCT id, page_id, raw FROM passages WHERE raw IS NOT NULL),
+s AS (SELECT id, page_id, unnest(string_split(raw, chr(10))) AS line, unnest(generate_series(0, len(string_split(raw, chr(10))) - 1)) AS line_no FROM l),
+e AS (SELECT id, page_id, line_no, regexp_extract(line, '{_ENTRY}', 1) AS t, regexp_extract(line, '{_ENTRY}', 2) AS p FROM s),
+r AS (SELECT id, page_id, line_no, regexp_replace(t, '[\s.·…]+$', '') AS term, regexp_extract(unnest(regexp_split_to_array(p, '\s*[,，]\s*')), '^[0-9ZzlIOo]+') AS run FROM e WHERE t <> ''),
+entries AS (SELECT id, page_id, line_no, term, CAST(translate(run, 'ZzlIOo', '221100') AS INTEGER) AS page FROM r WHERE regexp_matches(run, '[0-9]'))"""
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "passages").where("raw IS NOT NULL").select("id", "page_id", "raw").distinct()
+    return terms.index_entries(p, "raw", "id", "page_id")
+
+
+@query(f"WITH {_ENTRIES} SELECT id, line_no, term, page FROM entries")
+def index_entries(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(spark, d).select("id", "line_no", "term", "page")
+
+
+@query("SELECT * FROM (VALUES ('명사구', 273), ('명사구', 321), ('명사형 어미', 171), ('명사형 어미', 176)) t(term, page)")
+def index_line(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([("명사구    Z73, 321\n명사형 어미     17l, 176",)], "text string")
+    return terms.index_entries(rows, "text").select("term", "page")
+
+
+@query(f"WITH {_ENTRIES} SELECT id, count(*) AS entries, count(DISTINCT term) AS terms FROM entries GROUP BY id HAVING count(*) >= 8")
+def index_passages(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("term").alias("terms")).where("entries >= 8")
+
+
+@query(f"""WITH {_ENTRIES}, b AS (SELECT DISTINCT e.term, g.book_id, k.category, e.page FROM entries e JOIN (SELECT DISTINCT id, book_id FROM pages) g ON e.page_id = g.id JOIN books k ON g.book_id = k.id)
+SELECT term, bit_or(CASE category WHEN '문법' THEN 1 WHEN '문학' THEN 2 WHEN '문식성' THEN 4 ELSE 0 END) AS areas, count(DISTINCT book_id) AS books, bit_or(CASE WHEN page > 200 THEN 2 ELSE 1 END) AS flags FROM b GROUP BY term""")
+def catalog_rollup(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select(F.col("id").alias("page_id"), "book_id").distinct()
+    books = table(spark, d, "books").select(F.col("id").alias("book_id"), "category")
+    c = F.col("category")
+    area = F.when(c == "문법", 1).when(c == "문학", 2).when(c == "문식성", 4).otherwise(0)
+    sources = _entries(spark, d).select("page_id", "term", "page").join(pages, "page_id").join(books, "book_id").select("term", "book_id", area.alias("area"), F.when(F.col("page") > 200, 2).otherwise(1).alias("flag")).distinct()
+    return terms.catalog(sources)
+
+
+@query(f"""WITH {_ENTRIES}, o AS (SELECT book_id, pdf_page - printed_page AS o FROM pages WHERE printed_page IS NOT NULL GROUP BY book_id, pdf_page - printed_page QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY count(*) DESC, pdf_page - printed_page) = 1),
+w AS (SELECT DISTINCT g.book_id, e.term, e.page + o.o AS target FROM entries e JOIN (SELECT DISTINCT id, book_id FROM pages) g ON e.page_id = g.id JOIN o USING (book_id)),
+h AS (SELECT w.*, p.pdf_page, p.id, CASE p.pdf_page - w.target WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS pref FROM w JOIN (SELECT DISTINCT id, book_id, pdf_page, compact FROM pages) p ON p.book_id = w.book_id AND abs(p.pdf_page - w.target) <= 1 WHERE contains(p.compact, lower(replace(w.term, ' ', ''))))
+SELECT book_id, term, target, pdf_page FROM h QUALIFY row_number() OVER (PARTITION BY book_id, term, target ORDER BY pref, id) = 1""")
+def offset_probe(spark: SparkSession, d: str) -> DataFrame:
+    """The page that an index entry means: its number plus the book's offset, then the page after, then the one before,
+    if the term stands there."""
+    pages = table(spark, d, "pages")
+    known = pages.where("printed_page IS NOT NULL").groupBy("book_id", (F.col("pdf_page") - F.col("printed_page")).alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = known.withColumn("r", F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("n"), "o"))).where("r = 1").select("book_id", "o")
+    owners = pages.select(F.col("id").alias("page_id"), "book_id").distinct()
+    wanted = _entries(spark, d).join(owners, "page_id").join(offsets, "book_id").select("book_id", "term", (F.col("page") + F.col("o")).alias("target")).distinct()
+    probes = wanted.withColumn("pref", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("pdf_page", F.col("target") + F.when(F.col("pref") == 2, -1).otherwise(F.col("pref")))
+    texts = pages.select("id", "book_id", "pdf_page", "compact").distinct()
+    hits = probes.join(texts, ["book_id", "pdf_page"]).where(F.contains("compact", F.lower(F.replace("term", F.lit(" "), F.lit("")))))
+    w = Window.partitionBy("book_id", "term", "target").orderBy("pref", "id")
+    return hits.withColumn("r", F.row_number().over(w)).where("r = 1").select("book_id", "term", "target", "pdf_page")
+
+
+@query("""WITH c AS (SELECT lower(lang) AS key, lang AS label, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL)
+SELECT key, (list(label ORDER BY n DESC, label))[1] AS label, array_to_string(list(label ORDER BY label), ',') AS variants FROM c GROUP BY key""")
+def label_variants(spark: SparkSession, d: str) -> DataFrame:
+    out = terms.labels(table(spark, d, "documents"), F.lower("lang"), "lang")
+    return out.select("key", "label", F.array_join("variants", ",").alias("variants"))
+
+
+@query()
+def best_definitions(spark: SparkSession, d: str) -> DataFrame:
+    """The sentence of each book that defines a word of its topics most plainly."""
+    pages = table(spark, d, "pages").select(F.col("id").alias("page_id"), "book_id", "pdf_page").distinct()
+    p = table(spark, d, "passages").where("display IS NOT NULL AND kind = 'body'").select("id", "page_id", "display").distinct()
+    s = p.select("id", "page_id", F.posexplode(split_sentences(F.col("display"))).alias("at", "sentence"))
+    words = s.withColumn("key", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit("([가-힣]{2,})(?:은|는|이란|란)"), F.lit(1)))))
+    scored = words.withColumn("score", terms.definition_score("sentence", "key")).join(pages, "page_id")
+    best = terms.definitions(scored, ["book_id", "key"], "score", ["pdf_page", "id", "at"], terms.THRESHOLD)
+    return best.select("book_id", "key", "score", "pdf_page", "id", "at")
+
+
+_HITS = [("q1", "문장"), ("q1", "안긴문장"), ("q1", "관형절"), ("q2", "대명사"), ("q2", "재귀대명사"), ("q2", "사")]
+
+
+@query("WITH h(q, term) AS (VALUES " + ", ".join(f"('{q}', '{t}')" for q, t in _HITS) + ") SELECT q, term FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.q = h.q AND length(o.term) > length(h.term) AND contains(o.term, h.term))")
+def containment_suppression(spark: SparkSession, d: str) -> DataFrame:
+    return terms.suppressed(spark.createDataFrame(_HITS, "q string, term string"), "q", "term")
+
+
+_QUESTIONS = [("q1", "재귀 대명사는 무엇인가요?"), ("q2", "안긴문장과 이어진문장의 차이"), ("q3", "시의 운율")]
+_CONCEPTS = [("c1", "재귀 대명사", "재귀칭", "재귀 대명사는 앞의 말을 다시 가리킨다."), ("c2", "대명사", "대이름씨", "대명사는 이름을 대신한다."), ("c3", "안긴문장", "내포절", "안긴문장은 다른 문장 안에 든다."), ("c4", "운율", "리듬", "운율은 소리의 되풀이이다.")]
+
+
+@query("SELECT * FROM (VALUES ('q1', 'c1', 'exact', '재귀대명사'), ('q1', 'c2', 'related', '대명사'), ('q2', 'c3', 'exact', '안긴문장'), ('q3', 'c4', 'exact', '운율')) t(q, concept, match, term)")
+def concept_match(spark: SparkSession, d: str) -> DataFrame:
+    """Concepts that a question names, and those whose name is a part of a longer word of it and stands in their text."""
+    grams = spark.createDataFrame([(q, g) for q, t in _QUESTIONS for g in question.ngrams(t)], "q string, gram string")
+    names = spark.createDataFrame([(c, n.replace(" ", ""), b.replace(" ", "")) for c, label, alias, b in _CONCEPTS for n in (label, alias)], "concept string, name string, body string")
+    exact = grams.join(names, grams.gram == names.name).select("q", "concept", F.lit("exact").alias("match"), F.col("name").alias("term"))
+    # a name inside a longer gram: every part of a gram is a key
+    parts = grams.select("q", "gram", F.explode(F.expr("array_distinct(flatten(transform(sequence(1, length(gram)), i -> transform(sequence(1, length(gram) - i + 1), n -> substring(gram, i, n)))))")).alias("name")).where("name <> gram")
+    related = parts.join(names, "name").where(F.contains("body", "name")).select("q", "concept", F.lit("related").alias("match"), F.col("name").alias("term")).distinct()
+    longest = exact.groupBy("q").agg(F.max_by("term", F.length("term")).alias("top"))
+    best = exact.unionByName(related).withColumn("o", F.when(F.col("match") == "exact", 0).otherwise(1))
+    w = Window.partitionBy("q", "concept").orderBy("o", F.desc(F.length("term")), "term")
+    one = best.withColumn("r", F.row_number().over(w)).where("r = 1").join(longest, "q", "left")
+    # an exact name that lies inside the longest exact one is background
+    demoted = (F.col("match") == "exact") & (F.col("top") != F.col("term")) & F.contains("top", "term")
+    return one.select("q", "concept", F.when(demoted, "related").otherwise(F.col("match")).alias("match"), "term")
+
+
+_ENTRIES_JSON = [
+    '{"id":"c1","summary":"요약","sections":[{"heading":"뜻","items":["하나",{"label":"둘","text":"설명","examples":["보기"],"sub":[{"label":"셋","text":"더"}]}]}]}',
+    '{"id":"c2","summary":"다른 것","sections":[]}',
+]
+
+
+@query("SELECT * FROM (VALUES ('c1', '요약 뜻 하나 둘 설명 보기 셋 더'), ('c2', '다른 것')) t(id, prose)")
+def entry_prose(spark: SparkSession, d: str) -> DataFrame:
+    """Nested entries of two generations as prose: items are strings or objects, read as text and parsed one by one."""
+    e = spark.createDataFrame([(x,) for x in _ENTRIES_JSON], "j string")
+    e = e.select(F.from_json("j", "id string, summary string, sections array<struct<heading:string,intro:string,items:array<string>>>").alias("e")).select("e.*")
+    sub = "label string, text string, examples array<string>, sub array<struct<label:string,text:string>>"
+
+    def item(x):
+        o = F.from_json(x, sub)
+        words = F.flatten(F.array(F.array(o["label"], o["text"]), F.coalesce(o["examples"], F.array().cast("array<string>")), F.flatten(F.coalesce(F.transform(o["sub"], lambda s: F.array(s["label"], s["text"])), F.array().cast("array<array<string>>")))))
+        return F.when(x.startswith("{"), words).otherwise(F.array(x))
+
+    prose = F.flatten(F.transform("sections", lambda s: F.concat(F.array(s["heading"], s["intro"]), F.flatten(F.transform(s["items"], item)))))
+    return e.select("id", F.concat_ws(" ", F.array_compact(F.concat(F.array("summary"), prose))).alias("prose"))
+
+
+@query("SELECT id, title, year // 10 * 10 AS decade FROM (SELECT doc_id AS id, regexp_extract(text, '『([^』]+)』', 1) AS title, TRY_CAST(regexp_extract(text, '[(]((?:19|20)[0-9]{2})[)]', 1) AS INTEGER) AS year FROM documents) WHERE title <> '' AND year IS NOT NULL")
+def reading_list_titles(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract("text", "『([^』]+)』", 1).alias("title"), F.regexp_extract("text", "[(]((?:19|20)[0-9]{2})[)]", 1).alias("y"))
+    return t.where("title <> '' AND y <> ''").select("id", "title", (F.floor(F.col("y").cast("int") / 10) * 10).cast("int").alias("decade"))

@@ -73,8 +73,8 @@ def first_in_flight(events: DataFrame, ts: str, keys: list[str], within: str = "
 def distinct_in_flight(events: DataFrame, ts: str, keys: list[str], order: str, seconds: int = JOB_SECONDS) -> DataFrame:
     """Batch twin: events whose predecessor with the same keys lies further back than the time, or is missing."""
     before = F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts, order))
-    gap = F.unix_micros(ts) - F.unix_micros(before)
-    return events.withColumn("_g", gap).where(F.col("_g").isNull() | (F.col("_g") > seconds * 1_000_000)).drop("_g")
+    late = (F.col(ts) - before) > F.make_dt_interval(secs=F.lit(seconds))
+    return events.withColumn("_late", F.coalesce(late, F.lit(True))).where("_late").drop("_late")
 
 
 def ingest(spark, folder: str, schema, target: str, checkpoint: str) -> None:
