@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyeol.llm.textio import arrow_map, batch_of
+from gyeol.llm.textio import arrow_map, batch_of, slices
 
 CHUNK = 32_768
 #: Of a line or word cut by a chunk's edge, only so many code points at either end are kept.
@@ -69,7 +69,11 @@ _flags = np.full(0x110000, -1, dtype=np.int16)
 
 
 def char_counts(texts: list[str]) -> list[list[int]]:
-    """COUNTS of each text: the code points of all texts at once, looked up in a table that grows with what it meets."""
+    """COUNTS of each text: code points of many texts at once, looked up in a table that grows with what it meets."""
+    return [n for part in slices(texts) for n in _char_counts(part)]
+
+
+def _char_counts(texts: list[str]) -> list[list[int]]:
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     for o in np.unique(points[_flags[points] < 0]).tolist():
         _flags[o] = sum(1 << i for i in char_class(chr(o)))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its measured size stays below this many rows.
 BROADCAST_ROWS = 200_000
+#: Rows that a Python worker takes at once.
+ROWS = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,13 +46,15 @@ def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over every Arrow batch of df; a batch may give any number of rows."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """fn over Arrow batches of df of at most ROWS rows; a batch may give any number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
-                yield out
+            for at in range(0, batch.num_rows, ROWS):
+                out = fn(batch.slice(at, ROWS))
+                if out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
@@ -58,3 +62,15 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 def batch_of(**columns: tuple[list, pa.DataType] | pa.Array) -> pa.RecordBatch:
     names = list(columns)
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c[0], c[1]) for c in columns.values()], names=names)
+
+
+def slices(texts: list[str], most: int = 400_000) -> list[list[str]]:
+    """Texts in order, in lists of so many code points at most, or of one text: what is held at once stays small."""
+    out, size = [[]], 0
+    for t in texts:
+        if out[-1] and size + len(t) > most:
+            out.append([])
+            size = 0
+        out[-1].append(t)
+        size += len(t)
+    return [part for part in out if part]

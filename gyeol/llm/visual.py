@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyeol.llm.textio import arrow_map, batch_of
+from gyeol.llm.textio import arrow_map, batch_of, slices
 
 #: Letters of other scripts that print as the Latin letter below them.
 LOOK_ALIKE = dict(
@@ -126,6 +126,10 @@ def recompose(points: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def canonical(texts: list[str]) -> list[str]:
     """The consistent form of each text; equal for texts that look the same, line breaks included."""
+    return [f for part in slices(texts) for f in _canonical(part)]
+
+
+def _canonical(texts: list[str]) -> list[str]:
     place, start, flat = mapping()
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
