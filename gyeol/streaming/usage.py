@@ -14,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 DAY_START = "15 hours"
 LIMIT = 100
 JOB_SECONDS = 1800
+#: A day's count is dropped so long after its last event.
+KEPT_MS = 3 * 24 * 3600 * 1000
 
 
 def kst_day(ts) -> Any:
@@ -45,8 +47,9 @@ def _admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, limit
         state.remove()
         return
     count = state.get[0] if state.exists else 0
-    rows = []
+    rows, last = [], 0
     for pdf in batches:
+        last = max(last, int(pdf["ts"].max().timestamp() * 1000))
         for op in pdf.sort_values("ts")["op"]:
             allowed = op != "consume" or count < limit
             if op == "consume" and allowed:
@@ -55,14 +58,15 @@ def _admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, limit
                 count = max(0, count - 1)
             rows.append((key[0], op, allowed, max(0, limit - count)))
     state.update((count,))
-    state.setTimeoutDuration(3 * 24 * 3600 * 1000)
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + KEPT_MS)
     yield pd.DataFrame(rows, columns=["day", "op", "allowed", "remaining"])
 
 
-def quota(ops: DataFrame, limit: int = LIMIT) -> DataFrame:
+def quota(ops: DataFrame, limit: int = LIMIT, late: str = "1 hour") -> DataFrame:
     """day, op, allowed, remaining for a stream of (day, ts, op) with op consume, refund or peek. A day's count never
     falls below zero and is dropped three days after its last event."""
-    return ops.groupBy("day").applyInPandasWithState(lambda k, b, s: _admit(k, b, s, limit), OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = ops.withWatermark("ts", late).groupBy("day")
+    return keyed.applyInPandasWithState(lambda k, b, s: _admit(k, b, s, limit), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_in_flight(events: DataFrame, ts: str, keys: list[str], within: str = "30 minutes") -> DataFrame:
