@@ -34,7 +34,7 @@ _BULLET = re.compile(r"\s*(?:[•·▪○●■□◆◇▶▷※∙‣◦*]|[-
 _NUMBERED = re.compile(r"\s*(?:[(（]?(?:\d{1,3}|[가-하ㄱ-ㅎ]|[a-zA-Z])[)）]|\d{1,3}[.．](?=\s)|[①-⑳㉠-㉻])\s*\S")
 _ENTRY = re.compile(r"^\S.{0,60}?(?:\s{2,}|[.·…]{3,}\s*|\t)\d[\d,、，\s\-–－~]*$")
 _RECORD = re.compile(r"[,，]\s*(?:\d{4}|[^,，]{1,12}출판)[.．]?\s*(?:\S+://\S+)?$|[(（]\d{4}[)）][,，].*[,，]")
-_PREDICATE = re.compile(r"(?:다|까|라|오|요|자|네|나|지|음|함)[\"”’」』)）]*\s*$|[a-z]{2,}\W*$")
+_PREDICATE = re.compile(r"(?:\S다|까|요|시오)[\"”’」』)）]*\s*$")
 _HANGUL = re.compile(r"[가-힣ᄀ-ᄒ]")
 _HANJA = re.compile(r"[㐀-鿿豈-﫿]")
 _LATIN = re.compile(r"[A-Za-zａ-ｚＡ-Ｚ]")
@@ -106,9 +106,9 @@ def join(a: Fragment, b: Fragment) -> Fragment:
         return b if not a[0] else a
     head = a[1] if a[0] >= EDGE else (a[1] + b[1])[:EDGE]
     tail = b[2] if b[0] >= EDGE else (a[2] + b[2])[-EDGE:]
-    seam = a[2][-2:] + b[1][:2]  # a gap or an end mark that lies across the seam
-    more = len(_GAP.findall(seam)) - len(_GAP.findall(a[2][-2:])) - len(_GAP.findall(b[1][:2]))
-    return (a[0] + b[0], head, tail, a[3] + b[3], a[4] + b[4], a[5] + b[5] + max(0, more), a[6] + b[6], a[7] + b[7])
+    # gaps and end marks that lie across the seam, or only seemed to end at it
+    gaps, ends = (len(p.findall(a[2] + b[1])) - len(p.findall(a[2])) - len(p.findall(b[1])) for p in (_GAP, _INNER_END))
+    return (a[0] + b[0], head, tail, a[3] + b[3], a[4] + b[4], a[5] + b[5] + gaps, a[6] + b[6], a[7] + b[7] + ends)
 
 
 def line_counts(f: Fragment) -> list[int]:

@@ -27,7 +27,7 @@ HYPHENS = "-‐‑¬­－"
 #: What may stand between syllables of a scanned word only by mistake.
 SYMBOLS = "�&}{@\\\\§¥«»¢®™€†λ°¤^_£©¶±×=<>|#*+;"
 _SYMBOL_IN_WORD = re.compile(rf"(?<=[가-힣])[{SYMBOLS}%](?=[가-힣])|(?<=[가-힣])[�&}}@\\§¥«¢®™€†λ%](?=[\s.,)”’\]]|$)|(?<![\w%])[�&}}@\\§¥«¢®™€†λ%](?=[가-힣])")
-_ALIEN_IN_WORD = re.compile(r"(?<=[가-힣])[0-9A-Za-z](?=[가-힣])")
+_ALIEN_IN_WORD = re.compile(r"(?<=[가-힣])(?<!제)[0-9](?=[가-힣])|(?<=[가-힣])[A-Za-z](?=[가-힣])")
 _ALIEN_BEFORE = re.compile(r"(?:^|(?<=\s))[7lE0](?=[가-힣]{2})(?!쪽|장|절|개|월|일|년|명|번|권|차)")
 _ALIEN_AFTER = re.compile(r"(?<=[가-힣])[7lE0](?=[\s.,)]|$)")
 _SYMBOL_IN_LATIN = re.compile(r"(?<=[A-Za-z])[€†¢®™§«¥�&}@\\0135|](?=[a-z])|(?<![\w€])[€†¢®™§«¥�}|](?=[a-z]{2})|(?<=[a-z])[€†¢®™§«¥�}|](?=[\s.,;!?)]|$)")
@@ -83,7 +83,9 @@ def furniture(line: str, title: str | None) -> tuple[bool, bool, bool]:
         if d <= max(1, len(t) // 4):
             return True, number is not None, wrong or d > 0
     if _CHAPTER.match(rest) and len(rest) <= 40:
-        odd = re.match(r"^제\s?(\d+)\s?장", rest) is None or _SYMBOL_IN_WORD.search(rest) or _ALIEN_IN_WORD.search(rest) or _ALIEN_AFTER.search(rest)
+        prefix = re.match(r"^제\s?\d+\s?장", rest)
+        name = rest[prefix.end() :] if prefix else rest
+        odd = prefix is None or _SYMBOL_IN_WORD.search(name) or _ALIEN_IN_WORD.search(name) or _ALIEN_AFTER.search(name)
         return True, number is not None, wrong or bool(odd)
     return False, False, False
 

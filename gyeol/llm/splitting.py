@@ -65,10 +65,10 @@ def split_spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[t
             continue
         mid, near = (lo + hi) // 2, max(1, (hi - lo) // 4)
         cut, kind = mid, 0
-        for a, b in ((mid - near, mid + near), (lo + 1, hi - 1)):
+        for nearby, a, b in ((True, max(lo + 1, mid - near), min(hi - 1, mid + near)), (False, lo + 1, hi - 1)):
             i, j = bisect_left(at, a), bisect_right(at, b)
             if i < j:
-                best = strength[i:j].max() if a == mid - near else None
+                best = strength[i:j].max() if nearby else None
                 rows = [k for k in range(i, j) if best is None or strength[k] == best]
                 k = min(rows, key=lambda k: (abs(at[k] - mid), at[k]))
                 cut, kind = at[k], int(strength[k])
