@@ -1,0 +1,95 @@
+"""Reading text: source breaks laid over display spacing, tables worth showing, chunks of clean sentences."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Target, limit and least size of a chunk, sentences in it, and the longest sentence.
+TARGET, LIMIT, LEAST, MOST_SENTENCES, LONGEST = 320, 640, 40, 6, 600
+_SENTENCE = re.compile(r"[다요까][.!?。][”’']?(?=\s|$)")
+_NOISE = re.compile(r"[가-힣][A-Za-z%&@]{1,3}[가-힣]|[가-힣][0-9][}\-]|[가-힣][0-9]{3,}|[가-힣][λ}]|[0-9]π|[-~]{4,}|[~^]{2,}|[À-ɏͰ-ϿЀ-ӿ￠-￦¢©«®»™\\]")
+
+
+def aligned_text(raw: str | None, display: str | None) -> str | None:
+    """Display spacing with the source's line and cell breaks; raw where the characters differ; null for null."""
+    if raw is None or display is None:
+        return raw
+    if "".join(raw.split()).lower() != "".join(display.split()).lower():
+        return raw
+    gaps = re.findall(r"(\s*)\S", raw)
+    out: list[str] = []
+    for k, m in enumerate(re.finditer(r"(\s*)(\S)", display)):
+        if k:
+            out.append("\n" if "\n" in gaps[k] else "\t" if "\t" in gaps[k] else " " if m[1] else "")
+        out.append(m[2])
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def aligned(raw: pd.Series, display: pd.Series) -> pd.Series:
+    return pd.Series([aligned_text(a, b) for a, b in zip(raw, display, strict=True)], dtype=object)
+
+
+def readable_table(text: Column) -> Column:
+    """Whether rows of tab-separated cells are worth showing: enough Hangul, few numbers, few lone syllables, few torn rows."""
+    rows = F.filter(F.transform(F.split(text, "\n"), lambda r: F.filter(F.transform(F.split(r, "\t"), lambda c: F.trim(F.regexp_replace(c, r"^[•·]\s*", ""))), lambda c: c != "")), lambda r: F.size(r) > 0)
+    cells = F.flatten(rows)
+    body = F.regexp_replace(F.array_join(cells, ""), r"\s", "")
+    hangul = F.regexp_count(body, F.lit("[가-힣]"))
+    odd = F.regexp_count(body, F.lit(r"""[^\p{L}\p{N}\t.,;:!?()\[\]{}<>|/%&+=*@#\-~'"·‥…‘’“”–—《》〈〉「」『』〔〕°※→←↔±×÷○●△▲□■◇◆☆★①-⑩]"""))
+    share = lambda test, of: F.size(F.filter(of, test)) / F.size(of)
+    number = share(lambda c: c.rlike(r"^[\d\s,.·\-~]+$") | c.rlike(r"\d{1,3}(\s*[,.·]\s*\d{1,3})+\s*$|\d{1,4}\s*[-–~•]\s*\d{1,4}\s*\.?\s*$|[(（]\s*[12]\d{3}"), cells)
+    lone = share(lambda c: F.regexp_count(c, F.lit("[가-힣]")) <= 1, cells)
+    torn = share(lambda r: F.size(r) == 1, rows)
+    widest = F.array_max(F.transform(rows, F.size))
+    good = (F.length(body) >= 30) & (hangul >= F.length(body) * 0.45) & (odd <= F.length(body) * 0.04) & (number <= 0.3) & (lone <= 0.4) & ~((widest > 1) & (torn > 0.4))
+    return F.when(F.size(cells) > 0, good).otherwise(F.lit(False))
+
+
+def chunks_of(text: str, target: int = TARGET, limit: int = LIMIT) -> list[str]:
+    """Runs of clean neighbouring sentences near the target, cut left to right; a sentence stands in one chunk at most.
+
+    Damaged and overlong sentences, and what follows the last sentence end, are left out and part the runs.
+    """
+    runs: list[list[str]] = [[]]
+    last = 0
+    for m in _SENTENCE.finditer(text):
+        s = text[last : m.end()].strip()
+        last = m.end()
+        if _NOISE.search("".join(s.split())) or len(s) > LONGEST:
+            runs.append([])
+        else:
+            runs[-1].append(s)
+    out = []
+    for run in runs:
+        pieces: list[list[str]] = []
+        for s in run:
+            now = pieces[-1] if pieces else None
+            size = sum(map(len, now)) + len(now) if now else 0
+            if now and size < target and size + len(s) <= limit and len(now) < MOST_SENTENCES:
+                now.append(s)
+            else:
+                pieces.append([s])
+        if len(pieces) > 1 and len("".join("".join(pieces[-1]).split())) < LEAST and sum(map(len, pieces[-2])) + len(pieces[-2]) + sum(map(len, pieces[-1])) <= limit:
+            tail = pieces.pop()
+            pieces[-1] += tail
+        out += [" ".join(p) for p in pieces]
+    return [c for c in out if len("".join(c.split())) >= LEAST]
+
+
+def sentence_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, chunk_no, chunk, digest: chunks for dense retrieval of every non-null text."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(k, i, c) for k, t in zip(pdf[key], pdf[text], strict=True) for i, c in enumerate(chunks_of(t))]
+            yield pd.DataFrame(rows, columns=[key, "chunk_no", "chunk"])
+
+    kind = df.schema[key].dataType.simpleString()
+    cut = df.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"`{key}` {kind}, chunk_no int, chunk string")
+    return cut.withColumn("digest", F.sha2("chunk", 256))
