@@ -14,7 +14,7 @@ from gyeol.sources import table
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
 
-QUESTION = "방언과 운율의 관계는 무엇인가요?"
+QUESTION = "안긴문장과 모음은 무엇인가요?"
 GROUPS = question.groups(QUESTION)
 LIMIT = 8
 
