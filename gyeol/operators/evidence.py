@@ -17,11 +17,10 @@ ANSWER = (
 )
 
 
-def interleaved(df: DataFrame, lists: str, position: str, item: str, by: list[str] | None = None) -> DataFrame:
-    """Rank 0 of each list, then rank 1 and so on; an item keeps its first place."""
-    by = by or []
+def interleaved(df: DataFrame, lists: str, position: str, item: str, by: list[str]) -> DataFrame:
+    """Rank 0 of each list of a question, then rank 1 and so on; an item keeps its first place."""
     first = df.groupBy(*by, item).agg(F.min(F.struct(position, lists)).alias("_o"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_o")
+    w = Window.partitionBy(*by).orderBy("_o")
     return first.withColumn("rank", F.row_number().over(w)).drop("_o")
 
 

@@ -32,11 +32,15 @@ def daily_counts(events: DataFrame, ts: str = "ts", late: str = "1 hour") -> Dat
 def admitted(events: DataFrame, ts: str, key: str, limit: int = LIMIT) -> DataFrame:
     """Batch twin of the admission: the first `limit` events of each day, in order of time and key, are let in.
 
-    Days are windows of one day's events; `key` makes the order total.
+    A day may hold any number of events: places are counted within minutes, and the counts of at most 1,440 minutes are
+    summed for each day. `key` makes the order total.
     """
-    day = kst_day(F.col(ts))
-    n = F.row_number().over(Window.partitionBy(day).orderBy(ts, key))
-    return events.withColumns({"day": day, "n": n}).withColumn("allowed", F.col("n") <= limit)
+    rows = events.withColumns({"day": kst_day(F.col(ts)), "_m": F.date_trunc("minute", ts)})
+    minutes = rows.groupBy("day", "_m").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("day").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = minutes.select("day", "_m", F.coalesce(before, F.lit(0)).alias("_before"))
+    n = F.col("_before") + F.row_number().over(Window.partitionBy("day", "_m").orderBy(ts, key))
+    return rows.join(offsets, ["day", "_m"]).withColumn("n", n).drop("_m", "_before").withColumn("allowed", F.col("n") <= limit)
 
 
 STATE, OUT = "count long", "day date, op string, allowed boolean, remaining long"
