@@ -25,10 +25,12 @@ SAMPLE = 20_000
 RADIUS = 64
 #: A bucket with more codes is compared block by block, each pair of blocks in a task of its own.
 BLOCK = 4096
-_FLIPS = np.array([0, *(1 << i for i in range(8))], dtype=np.uint8)
+_FLIPS = np.array([0, *(1 << i for i in range(8))], dtype=np.uint16)
+#: Codes that a group of neighbouring buckets should hold, so that small tables don't pay for many groups.
+GROUP = 2048
 
 
-def learn_rotation(x: np.ndarray, seed: int, rounds: int = 20) -> np.ndarray:
+def learn_rotation(x: np.ndarray, seed: int, rounds: int = 6) -> np.ndarray:
     """Orthogonal rotation of unit vectors that brings them close to the corners of a cube."""
     r = np.linalg.qr(np.random.default_rng(seed).standard_normal((x.shape[1], x.shape[1])))[0]
     for _ in range(rounds if len(x) >= x.shape[1] else 0):
@@ -66,11 +68,11 @@ def usable(df: DataFrame, key: str, vector: str, width: int = DIMENSIONS) -> Dat
     return arrow_map(rows, run, "digest string, vec array<float>, cls binary")
 
 
-def pairs_within(i: np.ndarray, j: np.ndarray, other_i: np.ndarray, other_j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs from two blocks whose second halves differ in one bit at most."""
-    order = np.argsort(other_j, kind="stable")
-    sorted_j = other_j[order]
-    probes = (other_i[:, None] ^ _FLIPS[None, :]).ravel()
+def pairs_within(i: np.ndarray, j: np.ndarray, key_i: np.ndarray, key_j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs from two blocks whose keys of 16 bits differ in one bit of the lower half at most."""
+    order = np.argsort(key_j, kind="stable")
+    sorted_j = key_j[order]
+    probes = (key_i[:, None] ^ _FLIPS[None, :]).ravel()
     lo, hi = np.searchsorted(sorted_j, probes, "left"), np.searchsorted(sorted_j, probes, "right")
     n = hi - lo
     left = np.repeat(np.repeat(i, len(_FLIPS)), n)
@@ -78,14 +80,15 @@ def pairs_within(i: np.ndarray, j: np.ndarray, other_i: np.ndarray, other_j: np.
     return left, j[order[at]]
 
 
-def candidates(reps: DataFrame, rotations: list[np.ndarray], radius: int = RADIUS, width: int = DIMENSIONS) -> DataFrame:
-    """a < b: identifiers of every two rows of reps (rid, vec) that share a probed substring within the radius."""
+def candidates(reps: DataFrame, rotations: list[np.ndarray], n: int, radius: int = RADIUS, width: int = DIMENSIONS) -> DataFrame:
+    """a < b: identifiers of every two rows of reps (rid, vec; n of them) that share a probed substring within the radius."""
+    together = 1 << max(0, min(8, (GROUP * 256 // max(1, n)).bit_length() - 1))  # buckets in a group
     size = len(codes_of(np.zeros((1, width)), rotations)[0])
 
     def index(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes = codes_of(matrix(batch.column(1), width), rotations)
         rid = batch.column(0).to_numpy()
-        bucket = (np.arange(size)[None, :] * 256 + codes).astype(np.int32).ravel()
+        bucket = ((np.arange(size)[None, :] * 256 + codes) // together).astype(np.int32).ravel()
         return _index_batch(bucket, rid, codes, size)
 
     rows = arrow_map(reps.select("rid", "vec"), index, "bucket int, rid bigint, code binary")
@@ -103,11 +106,11 @@ def candidates(reps: DataFrame, rotations: list[np.ndarray], radius: int = RADIU
         rid = group.column("rid").to_numpy()
         own, x, y = (group.column(c).to_numpy() for c in ("own", "x", "y")) if hot else [np.zeros(len(rid), dtype=np.int8)] * 3
         codes = np.frombuffer(b"".join(group.column("code").to_pylist()), dtype=np.uint8).reshape(len(rid), size)
-        byte = int(group.column("bucket")[0].as_py()) // 256
-        other = codes[:, byte ^ 1]
+        byte = int(group.column("bucket")[0].as_py()) * together // 256
+        key = codes[:, byte].astype(np.uint16) << 8 | codes[:, byte ^ 1]
         i = np.flatnonzero(own == x[0])
         j = i if x[0] == y[0] else np.flatnonzero(own == y[0])
-        a, b = pairs_within(i, j, other[i], other[j])
+        a, b = pairs_within(i, j, key[i], key[j])
         if x[0] == y[0]:
             keep = rid[a] < rid[b]
             a, b = a[keep], b[keep]
@@ -147,7 +150,7 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 5, at_least: float
     if len(x):
         x /= np.linalg.norm(x, axis=1, keepdims=True)
     rotations = [learn_rotation(x, seed) if len(x) else np.eye(width) for seed in range(ROTATIONS)]
-    pairs = candidates(reps, rotations, width=width)
+    pairs = candidates(reps, rotations, n, width=width)
     both = pairs.join(reps.select(F.col("rid").alias("a"), F.col("cls").alias("cls_a"), F.col("vec").alias("u")), "a")
     both = both.join(reps.select(F.col("rid").alias("b"), F.col("cls").alias("cls_b"), F.col("vec").alias("v")), "b").select("cls_a", "cls_b", "u", "v")
 
