@@ -149,3 +149,34 @@ def entry_prose(spark: SparkSession, d: str) -> DataFrame:
 def reading_list_titles(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract("text", "『([^』]+)』", 1).alias("title"), F.regexp_extract("text", "[(]((?:19|20)[0-9]{2})[)]", 1).alias("y"))
     return t.where("title <> '' AND y <> ''").select("id", "title", (F.floor(F.col("y").cast("int") / 10) * 10).cast("int").alias("decade"))
+
+
+@query(f"""WITH {_ENTRIES}, m(wrong, "right") AS (VALUES ('모움', '모음'), ('자움', '자음')) SELECT coalesce("right", term) AS term, count(*) AS n FROM entries LEFT JOIN m ON wrong = term GROUP BY ALL""")
+def rekeyed_entries(spark: SparkSession, d: str) -> DataFrame:
+    fixes = spark.createDataFrame([("모움", "모음"), ("자움", "자음")], "wrong string, right string")
+    return terms.rekeyed(_entries(spark, d), "term", fixes).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_ENTRIES}, src AS (SELECT e.term, b.title, e.page, c.quote FROM entries e JOIN (SELECT DISTINCT id, book_id FROM pages) g ON e.page_id = g.id JOIN books b ON g.book_id = b.id LEFT JOIN (SELECT page_id, min(excerpt) AS quote FROM chunks GROUP BY page_id) c ON c.page_id = e.page_id)
+SELECT DISTINCT term, title, page, row_number() OVER (PARTITION BY term ORDER BY quote IS NULL, title, page) AS place FROM (SELECT DISTINCT term, title, page, quote FROM src)""")
+def card_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The sources of each index term in the order a card shows them."""
+    pages = table(spark, d, "pages").select(F.col("id").alias("page_id"), "book_id").distinct()
+    books = table(spark, d, "books").select(F.col("id").alias("book_id"), "title")
+    quotes = table(spark, d, "chunks").groupBy("page_id").agg(F.min("excerpt").alias("quote"))
+    s = _entries(spark, d).select("page_id", "term", "page").join(pages, "page_id").join(books, "book_id").join(quotes, "page_id", "left").select("term", "title", "page", "quote").distinct()
+    order = terms.card_order(F.col("quote"), F.lit(True), F.lit(False), F.col("title"), F.col("page"))
+    return s.select("term", "title", "page", F.row_number().over(Window.partitionBy("term").orderBy(*order)).alias("place"))
+
+
+@query("SELECT * FROM (VALUES ('국어교육론', '1,2,3'), ('현대문학사', '2')) t(stem, volumes)")
+def stem_volumes(spark: SparkSession, d: str) -> DataFrame:
+    titles = spark.createDataFrame([("국어교육론 1",), ("국어교육론2",), ("국어교육론 3",), ("현대문학사 2",), ("시론 1",), ("문법",)], "title string")
+    return terms.volumes(titles, "title").select("stem", F.array_join(F.transform("volumes", lambda v: v.cast("string")), ",").alias("volumes"))
+
+
+@query("""WITH s(p, i, ok) AS (VALUES ('a', 0, true), ('a', 1, true), ('a', 2, false), ('a', 3, true), ('b', 0, true))
+SELECT x.p AS p, x.i AS first, y.i AS last FROM s x JOIN s y ON x.p = y.p AND y.i BETWEEN x.i AND x.i + 5 WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.p = x.p AND z.i BETWEEN x.i AND y.i AND NOT z.ok)""")
+def sentence_runs(spark: SparkSession, d: str) -> DataFrame:
+    s = spark.createDataFrame([("a", 0, True), ("a", 1, True), ("a", 2, False), ("a", 3, True), ("b", 0, True)], "p string, i int, ok boolean")
+    return terms.sentence_runs(s, "p", "i", F.col("ok"))
