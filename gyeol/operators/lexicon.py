@@ -93,3 +93,20 @@ def running_heads(df: DataFrame, by: str, line: str, least: int = 8) -> DataFram
     """Lines that one book repeats so often that they are no headings: left out for all books."""
     often = df.groupBy(by, line).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(line).distinct()
     return df.join(often, line, "left_anti")
+
+
+def spacing(df: DataFrame, text: str, keys: DataFrame) -> DataFrame:
+    """word, joined, spaced: how often a compound of the list stands as one word and as two neighbours.
+
+    keys: left_part, right_part. A compound is accepted as one word if it is hardly ever spaced.
+    """
+    tokens = df.select(F.split(F.trim(text), r"\s+").alias("t")).where(F.size("t") > 0)
+    compounds = keys.select(F.concat("left_part", "right_part").alias("word"), "left_part", "right_part").distinct()
+    single = tokens.select(F.explode("t").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("joined"))
+    pairs = tokens.where(F.size("t") > 1).select(F.explode(F.expr("transform(sequence(1, size(t) - 1), i -> struct(t[i - 1] AS left_part, t[i] AS right_part))")).alias("p")).select("p.*")
+    spaced = pairs.groupBy("left_part", "right_part").agg(F.count(F.lit(1)).alias("spaced"))
+    out = compounds.join(single, "word", "left").join(spaced, ["left_part", "right_part"], "left")
+    out = out.groupBy("word").agg(F.max(F.coalesce("joined", F.lit(0))).alias("joined"), F.sum(F.coalesce("spaced", F.lit(0))).alias("spaced"))
+    j, s, n = F.col("joined"), F.col("spaced"), F.length("word")
+    accepted_ = ((j >= 3) & ((s <= 0.03 * (j + s)) | ((n >= 3) & (s <= 1) & (j >= 8)))) | ((n >= 4) & (j >= 1) & (s == 0))
+    return out.withColumn("accepted", accepted_)

@@ -38,3 +38,10 @@ def call_metrics(spark: SparkSession, d: str) -> DataFrame:
 def busy_users(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("event_type IN ('purchase', 'error')").select("user_id", usage.kst_day(F.col("ts")).alias("day"))
     return e.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE k IS NULL) AS unreadable, sum(k) AS total FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type")
+def event_properties(spark: SparkSession, d: str) -> DataFrame:
+    """A field of the nested JSON of events; what can't be read counts as unreadable."""
+    k = F.from_json("props", "k bigint")["k"]
+    return table(spark, d, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k").isNull()).alias("unreadable"), F.sum("k").alias("total"))
