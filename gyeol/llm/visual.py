@@ -110,7 +110,7 @@ def recompose(points: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
     base, last = -1, 0
     previous = -2
     for i in spots.tolist():
-        if i != previous + 1:
+        if i != previous + 1 or owner[i] != owner[i - 1]:
             base, last = (i - 1, 0) if i and owner[i - 1] == owner[i] else (-1, 0)
         previous = i
         if base < 0:
@@ -145,7 +145,7 @@ def _canonical(texts: list[str]) -> list[str]:
         owner = owner[source]
     cls = marks()[points]
     if cls.any():  # canonical order: stable by class within each run of marks
-        run = np.cumsum(cls == 0)
+        run = np.cumsum((cls == 0) | np.r_[True, owner[1:] != owner[:-1]])
         order = np.lexsort((np.arange(len(points)), cls, run))
         points, owner = points[order], owner[order]
     points, owner = recompose(points.astype(np.int64), owner)
