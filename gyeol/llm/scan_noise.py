@@ -208,7 +208,10 @@ def letters_apart(a: str, b: str, at: str):
 
 
 def repairs(forms: DataFrame) -> DataFrame:
-    """word, repair, weight, m: words that the lexicon doesn't explain, with entries one letter away."""
+    """word, repair, m, n: words that the lexicon doesn't explain, with entries one letter away.
+
+    A repair must be RATIO times as frequent as the word and as the part it replaces, however frequent these are.
+    """
     hangul = forms.where(F.col("word").rlike("^[가-힣]+$"))
     e = hangul.select("word", "n")
     frequent = e.where(F.col("n") >= RATIO)
@@ -216,33 +219,36 @@ def repairs(forms: DataFrame) -> DataFrame:
     # beginnings of compounds: what stands before a frequent form
     starts = _cuts(e).join(frequent.select(F.col("word").alias("right_part")).where(F.length("right_part") >= 2), "right_part", "left_semi")
     starts = starts.groupBy(F.col("left_part").alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= EXPLAINS)
-    known = materialised(e.where(F.col("n") >= EXPLAINS).unionByName(stems).unionByName(starts).groupBy("word").agg(F.max("n").alias("n")))
+    known = materialised(e.where(F.col("n") >= EXPLAINS).unionByName(stems).unionByName(starts).groupBy("word").agg(F.max("n").alias("n"), F.sum("n").alias("total")))
     size = known.count()
     # explained: a stem with a particle, or two known parts, each far more frequent than the word
-    rare = e.join(known.select("word", F.col("n").alias("k")), "word", "left").where(F.coalesce(F.col("k"), F.col("n")) < EXPLAINS * RATIO).select("word", "n")
     ending = f"^(?:{'|'.join(PARTICLES)})$"
     left, right = (known.select(F.col("word").alias(p), F.col("n").alias(f"{p}_n")) for p in ("left_part", "right_part"))
-    cuts = sized_join(sized_join(_cuts(rare), left, ["left_part"], "left", size), right, ["right_part"], "left", size)
+    cuts = sized_join(sized_join(_cuts(e), left, ["left_part"], "left", size), right, ["right_part"], "left", size)
     cuts = materialised(cuts)
     left_known = F.coalesce(F.col("left_part_n") >= EXPLAINS * F.col("n"), F.lit(False))
     right_known = F.coalesce((F.col("right_part_n") >= EXPLAINS * F.col("n")) & (F.length("right_part") >= 2), F.lit(False))
     explained = cuts.where(left_known & (right_known | F.col("right_part").rlike(ending))).select("word").distinct()
-    odd = materialised(rare.join(explained, "word", "left_anti"))
+    odd = materialised(e.join(explained, "word", "left_anti"))
     cuts = cuts.join(odd.select("word"), "word", "left_semi")
     parts = odd.select("word", "n", F.lit("").alias("before"), F.col("word").alias("x"), F.lit("").alias("after"))
     parts = parts.unionByName(cuts.where(left_known & (F.length("right_part") >= 2)).select("word", "n", F.col("left_part").alias("before"), F.col("right_part").alias("x"), F.lit("").alias("after")))
     parts = parts.unionByName(cuts.where(right_known | F.col("right_part").rlike(ending)).select("word", "n", F.lit("").alias("before"), F.col("left_part").alias("x"), F.col("right_part").alias("after")))
-    parts = parts.withColumn("key", F.explode(_wild("x")))
+    # a part, or its stem, has its own weight in the corpus, by which its repair must outweigh it
+    total = known.select(F.col("word").alias("x"), F.col("total").alias("x_n"))
+    parts = sized_join(parts.withColumn("stem", F.regexp_replace("x", f"(?<=..){ending[1:]}", "")), total, ["x"], "left", size)
+    parts = sized_join(parts, total.select(F.col("x").alias("stem"), F.col("x_n").alias("stem_n")), ["stem"], "left", size)
+    parts = parts.select("word", "n", "before", "x", "after", F.greatest("n", "x_n", "stem_n").alias("own")).withColumn("key", F.explode(_wild("x")))
     # damaged words of which the wrong place shows already stand for their own key
     starred = forms.where(F.col("word").rlike("^[가-힣]*[*][가-힣]*$") & (F.length("word") >= 2))
     star_cuts = sized_join(sized_join(_cuts(starred), left, ["left_part"], "left", size), right, ["right_part"], "left", size)
     from_left = star_cuts.where(F.col("right_part").contains("*") & F.col("left_part_n").isNotNull() & (F.length("right_part") >= 2))
     from_right = star_cuts.where(F.col("left_part").contains("*") & (F.col("right_part_n").isNotNull() | F.col("right_part").rlike(ending)))
-    parts = parts.unionByName(starred.select("word", "n", F.lit("").alias("before"), F.col("word").alias("x"), F.lit("").alias("after"), F.col("word").alias("key")))
-    parts = parts.unionByName(from_left.select("word", "n", F.col("left_part").alias("before"), F.col("right_part").alias("x"), F.lit("").alias("after"), F.col("right_part").alias("key")))
-    parts = parts.unionByName(from_right.select("word", "n", F.lit("").alias("before"), F.col("left_part").alias("x"), F.col("right_part").alias("after"), F.col("left_part").alias("key")))
+    parts = parts.unionByName(starred.select("word", "n", F.lit("").alias("before"), F.col("word").alias("x"), F.lit("").alias("after"), F.col("n").alias("own"), F.col("word").alias("key")))
+    parts = parts.unionByName(from_left.select("word", "n", F.col("left_part").alias("before"), F.col("right_part").alias("x"), F.lit("").alias("after"), F.col("n").alias("own"), F.col("right_part").alias("key")))
+    parts = parts.unionByName(from_right.select("word", "n", F.lit("").alias("before"), F.col("left_part").alias("x"), F.col("right_part").alias("after"), F.col("n").alias("own"), F.col("left_part").alias("key")))
     index = known.where((F.col("n") >= RATIO) & (F.length("word") >= 2)).select(F.col("word").alias("v"), F.col("n").alias("m")).withColumn("key", F.explode(_wild("v")))
-    pairs = parts.join(index, "key").where((F.col("x") != F.col("v")) & (F.col("x").contains("*") | (F.col("m") >= RATIO * F.col("n"))))
+    pairs = parts.join(index, "key").where((F.col("x") != F.col("v")) & (F.col("x").contains("*") | (F.col("m") >= RATIO * F.col("own"))))
     # both sides left out the same place, so that the words differ there and nowhere else
     pairs = pairs.withColumn("at", F.instr("key", "*")).where(F.col("x").contains("*") | (letters_apart("x", "v", "at") == 1))
     # a last syllable that is a particle on both sides is inflection, not damage

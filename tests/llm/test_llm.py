@@ -132,6 +132,13 @@ def test_sentence_ends_ascend(text):
 
 
 # --- 6 neighbours -----------------------------------------------------------------------------------------------
+def test_misread_words_do_not_depend_on_size(spark):
+    counts = [("통까여", 4), ("통하여", 600), ("교사", 30), ("교사는", 20), ("교사가", 20), ("가사", 900)]
+    for times in (1, 10, 100):
+        forms = spark.createDataFrame([(w, n * times) for w, n in counts], "word string, n bigint")
+        assert {(r.word, r.repair) for r in scan_noise.repairs(forms).collect()} == {("통까여", "통하여")}, times
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((300, 128))
