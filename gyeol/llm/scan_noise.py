@@ -14,6 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,7 +153,8 @@ def _mark_soft_hyphens(t: str) -> str:
 
 
 def scanned(df: DataFrame, keys: list[str], text: str, title: str, page: str) -> DataFrame:
-    """keys, noise (array of line_no, noise), words (array of line_no, word) of every distinct keys' non-null text."""
+    """keys, noise (array of line_no, noise), words (array of line_no, word), digest (of the canonical text) of every
+    row's non-null text."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -164,10 +166,11 @@ def scanned(df: DataFrame, keys: list[str], text: str, title: str, page: str) ->
             flat = [x for o in out for x in o[part]]
             items = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.string())], names=["line_no", name])
             arrays.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(o[part]) for o in out])], pa.int32()), items))
-        return batch_of(**{c: batch.column(i) for i, c in enumerate(keys)}, noise=arrays[0], words=arrays[1])
+        digests = [xxhash.xxh128_digest(" ".join(t.split())) for t in texts]
+        return batch_of(**{c: batch.column(i) for i, c in enumerate(keys)}, noise=arrays[0], words=arrays[1], digest=(digests, pa.binary()))
 
     rows = df.select(*keys, F.col(text).alias("_t"), F.col(title).alias("_b"), F.col(page).alias("_p")).where(F.col("_t").isNotNull())
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "noise array<struct<line_no:int,noise:string>>, words array<struct<line_no:int,word:string>>"])
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "noise array<struct<line_no:int,noise:string>>, words array<struct<line_no:int,word:string>>, digest binary"])
     return arrow_map(rows, run, schema)
 
 
@@ -176,15 +179,29 @@ def canonical_lines(texts: list[str]) -> list[str]:
     return canonical([_mark_soft_hyphens(t) for t in texts])
 
 
-def lexicon(words: DataFrame) -> DataFrame:
-    """word, n: entries of the corpus: word forms (kind e), stems (s) and beginnings of compounds (p) with their counts."""
-    return materialised(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+def one_of_each(items: DataFrame) -> DataFrame:
+    """Of scanned items (materialised, numbered by _row) one for each text, with the number of its copies.
+
+    Only the digests of texts that have copies are joined, so that words aren't shuffled for the others.
+    """
+    copied = materialised(items.groupBy("digest").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    return sized_join(items, copied, ["digest"], "left").where("_first IS NULL OR _row = _first").withColumn("copies", F.coalesce("copies", F.lit(1))).drop("_first")
+
+
+def lexicon(items: DataFrame) -> DataFrame:
+    """word, n, m of every word form: n counts each text once, however many copies or reprints it has.
+
+    m counts a text up to RATIO times: what is printed over and over is surely a word, but the hottest text has no more
+    weight than that. A word is as rare as its n, and a repair as frequent as its m.
+    """
+    words = one_of_each(items).select(F.explode("words.word").alias("word"), F.least("copies", F.lit(RATIO)).alias("c"))
+    return materialised(words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("m")))
 
 
 def _stems(forms: DataFrame) -> DataFrame:
     ending = f"(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))})$"
     stem = F.regexp_replace("word", ending, "")
-    return forms.where(stem != F.col("word")).select(stem.alias("word"), "n").where(F.length("word") >= 2).groupBy("word").agg(F.sum("n").alias("n"))
+    return forms.where(stem != F.col("word")).select(stem.alias("word"), "n", "m").where(F.length("word") >= 2).groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _cuts(df: DataFrame, word: str = "word") -> DataFrame:
@@ -212,14 +229,15 @@ def repairs(forms: DataFrame) -> DataFrame:
 
     A repair must be RATIO times as frequent as the word and as the part it replaces, however frequent these are.
     """
+    forms = forms if "m" in forms.columns else forms.withColumn("m", F.col("n"))
     hangul = forms.where(F.col("word").rlike("^[가-힣]+$"))
-    e = hangul.select("word", "n")
+    e = hangul.select("word", "n", "m")
     frequent = e.where(F.col("n") >= RATIO)
-    stems = _stems(e).where(F.col("n") >= EXPLAINS)
+    stems = _stems(e).where(F.col("m") >= EXPLAINS)
     # beginnings of compounds: what stands before a frequent form
     starts = _cuts(e).join(frequent.select(F.col("word").alias("right_part")).where(F.length("right_part") >= 2), "right_part", "left_semi")
-    starts = starts.groupBy(F.col("left_part").alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= EXPLAINS)
-    known = materialised(e.where(F.col("n") >= EXPLAINS).unionByName(stems).unionByName(starts).groupBy("word").agg(F.max("n").alias("n"), F.sum("n").alias("total")))
+    starts = starts.groupBy(F.col("left_part").alias("word")).agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("m") >= EXPLAINS)
+    known = materialised(e.where(F.col("m") >= EXPLAINS).unionByName(stems).unionByName(starts).groupBy("word").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("n").alias("total")))
     size = known.count()
     # explained: a stem with a particle, or two known parts, each far more frequent than the word
     ending = f"^(?:{'|'.join(PARTICLES)})$"
@@ -247,17 +265,17 @@ def repairs(forms: DataFrame) -> DataFrame:
     parts = parts.unionByName(starred.select("word", "n", F.lit("").alias("before"), F.col("word").alias("x"), F.lit("").alias("after"), F.col("n").alias("own"), F.col("word").alias("key")))
     parts = parts.unionByName(from_left.select("word", "n", F.col("left_part").alias("before"), F.col("right_part").alias("x"), F.lit("").alias("after"), F.col("n").alias("own"), F.col("right_part").alias("key")))
     parts = parts.unionByName(from_right.select("word", "n", F.lit("").alias("before"), F.col("left_part").alias("x"), F.col("right_part").alias("after"), F.col("n").alias("own"), F.col("left_part").alias("key")))
-    index = known.where((F.col("n") >= RATIO) & (F.length("word") >= 2)).select(F.col("word").alias("v"), F.col("n").alias("m")).withColumn("key", F.explode(_wild("v")))
+    index = known.where((F.col("m") >= RATIO) & (F.length("word") >= 2)).select(F.col("word").alias("v"), "m").withColumn("key", F.explode(_wild("v")))
     pairs = parts.join(index, "key").where((F.col("x") != F.col("v")) & (F.col("x").contains("*") | (F.col("m") >= RATIO * F.col("own"))))
     # both sides left out the same place, so that the words differ there and nowhere else
     pairs = pairs.withColumn("at", F.instr("key", "*")).where(F.col("x").contains("*") | (letters_apart("x", "v", "at") == 1))
     # a last syllable that is a particle on both sides is inflection, not damage
     last = F.expr("at = length(x)") & (F.col("after") == "") & F.expr("substring(x, length(x), 1)").isin(*(p for p in PARTICLES if len(p) == 1))
     hangul_pairs = pairs.where(F.col("x").contains("*") | ~last).select("word", "n", F.concat("before", "v", "after").alias("repair"), "m")
-    latin = forms.where(F.col("word").rlike("^[A-Za-z]+$")).select(F.lower("word").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    latin = forms.where(F.col("word").rlike("^[A-Za-z]+$")).select(F.lower("word").alias("word"), "n", "m").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     swaps = [F.regexp_replace("word", a, b) for a, b in LATIN_CONFUSIONS if a.isalpha()]
-    tried = latin.withColumn("repair", F.explode(F.array_distinct(F.array(*swaps)))).where(F.col("repair") != F.col("word"))
-    latin_pairs = tried.join(latin.select(F.col("word").alias("repair"), F.col("n").alias("m")), "repair").where((F.col("m") >= RATIO * F.col("n")) & (F.col("m") >= RATIO)).select("word", "n", "repair", "m")
+    tried = latin.drop("m").withColumn("repair", F.explode(F.array_distinct(F.array(*swaps)))).where(F.col("repair") != F.col("word"))
+    latin_pairs = tried.join(latin.select(F.col("word").alias("repair"), "m"), "repair").where((F.col("m") >= RATIO * F.col("n")) & (F.col("m") >= RATIO)).select("word", "n", "repair", "m")
     return materialised(hangul_pairs.unionByName(latin_pairs).groupBy("word", "repair").agg(F.max("m").alias("m"), F.max("n").alias("n")))
 
 
@@ -286,12 +304,12 @@ def with_context(items: DataFrame, keys: list[str]) -> DataFrame:
 def noise(df: DataFrame, keys: list[str], text: str, title: str, page: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(keys, line_no, noise), (word, repair, m, n) and the scanned items of all texts.
 
-    Null texts give nothing; rows that share their keys are copies, the case of one is listed once.
+    Null texts give nothing; rows that share their keys are copies, the case of one is listed once. Words are counted by
+    distinct texts and found in all copies.
     """
-    items = materialised(scanned(df, keys, text, title, page))
+    items = materialised(scanned(df, keys, text, title, page).withColumn("_row", F.monotonically_increasing_id()))
     plain = items.select(*keys, F.explode("noise").alias("x")).select(*keys, "x.line_no", "x.noise")
-    words = items.select(F.explode("words.word").alias("word"))
-    found = repairs(lexicon(words))
+    found = repairs(lexicon(items))
     n = found.select("word").distinct().count()
     flat = items.select(*keys, F.explode("words").alias("w")).select(*keys, "w.line_no", F.col("w.word").alias("word"))
     lower = F.when(F.col("word").rlike("^[A-Za-z]"), F.lower("word")).otherwise(F.col("word"))

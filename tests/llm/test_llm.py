@@ -139,6 +139,13 @@ def test_misread_words_do_not_depend_on_size(spark):
         assert {(r.word, r.repair) for r in scan_noise.repairs(forms).collect()} == {("통까여", "통하여")}, times
 
 
+def test_misread_words_of_a_hot_text(spark):
+    rows = [(i, f"{i} 통하여 가르칠 수 있다") for i in range(120)] + [(1000 + i, "통까여 가르칠 수 있다") for i in range(60)] + [(1000, "통까여 가르칠 수 있다")]
+    df = spark.createDataFrame(rows, "item_id int, text string").withColumns({"title": F.lit(None).cast("string"), "page": F.lit(False)})
+    lines = scan_noise.noise(df, ["item_id"], "text", "title", "page")[0].collect()
+    assert sorted((r.item_id, r.line_no, r.noise) for r in lines) == [(1000 + i, 1, "misread") for i in range(60)]
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((300, 128))
