@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyeol.llm.textio import arrow_map, batch_of, materialised
+from gyeol.llm.textio import ROWS, arrow_map, batch_of, materialised
 
 DIMENSIONS = 128
 ROTATIONS = 2
@@ -23,6 +25,8 @@ SAMPLE = 20_000
 #: Bits in which a candidate's codes may differ before the floats are looked at: at a cosine of 0.9 codes differ in 37
 #: bits of 256 on average, with a deviation of 6; unrelated vectors in 128.
 RADIUS = 64
+#: From this cosine on the codes find the neighbours; what is asked for below it is compared exactly.
+SURE = 0.9
 #: A bucket with more codes is compared block by block, each pair of blocks in a task of its own.
 BLOCK = 4096
 _FLIPS = np.array([0, *(1 << i for i in range(8))], dtype=np.uint16)
@@ -133,12 +137,54 @@ def _index_batch(bucket: np.ndarray, rid: np.ndarray, codes: np.ndarray, size: i
     return batch_of(bucket=pa.array(bucket), rid=pa.array(np.repeat(rid, size)), code=code)
 
 
+def exact(some: DataFrame, reps: DataFrame, most: int, at_least: float, width: int = DIMENSIONS) -> DataFrame:
+    """cls, near, cosine: the `most` best of reps for each of some (both cls, vec), by comparison with every one.
+
+    reps is materialised; each task reads its files from the shared folder block by block, so that nothing is shuffled
+    or broadcast and a block of scores is all that is held.
+    """
+    files = sorted(reps.inputFiles())
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = matrix(batch.column(1), width)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        own = np.array(batch.column(0).to_pylist(), dtype=object)
+        best = np.full((len(x), most), -np.inf)
+        near = np.full((len(x), most), None, dtype=object)
+        for name in files:
+            system, path = fs.FileSystem.from_uri(name)
+            with system.open_input_file(path) as f:
+                for block in pq.ParquetFile(f).iter_batches(BLOCK, columns=["cls", "vec"]):
+                    y = matrix(block.column("vec"), width)
+                    y /= np.linalg.norm(y, axis=1, keepdims=True)
+                    ids = np.array(block.column("cls").to_pylist(), dtype=object)
+                    scores = x @ y.T
+                    i, j = np.nonzero((scores >= at_least) & (scores > best[:, -1:]))
+                    keep = own[i] != ids[j]
+                    i, j = i[keep], j[keep]
+                    s = scores[i, j]
+                    order = np.lexsort((-s, i))
+                    i, j, s = i[order], j[order], s[order]
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, j, s, rank = (v[rank < most] for v in (i, j, s, rank))
+                    fresh, fresh_ids = np.full_like(best, -np.inf), np.full_like(near, None)
+                    fresh[i, rank], fresh_ids[i, rank] = s, ids[j]
+                    both, names = np.concatenate([best, fresh], axis=1), np.concatenate([near, fresh_ids], axis=1)
+                    top = np.argsort(-both, axis=1, kind="stable")[:, :most]
+                    best, near = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+        i, j = np.nonzero(best > -np.inf)
+        return batch_of(cls=(own[i].tolist(), pa.binary()), near=(near[i, j].tolist(), pa.binary()), cosine=(best[i, j], pa.float64()))
+
+    return arrow_map(some.select("cls", "vec"), run, "cls binary, near binary, cosine double")
+
+
 def neighbours(df: DataFrame, key: str, vector: str, k: int = 5, at_least: float = 0.9, width: int = DIMENSIONS) -> DataFrame:
     """digest, neighbour, cosine, rank: the k most similar other digests of each, down to a similarity.
 
     Digests of equal direction form a class that is searched once; each member then meets the first k + 1 members of
     its own class and of the classes near it, so that no group of copies is expanded into its pairs. Ties go to the
-    smaller digest. A table without usable vectors gives no row.
+    smaller digest. Below SURE the codes don't find everything: a class that has fewer than k neighbours from there on is
+    compared with every other, which takes time in proportion to the square of their number. A table without usable vectors gives no row.
     """
     rows = materialised(usable(df, key, vector, width))
     reps = rows.groupBy("cls").agg(F.min_by("vec", "digest").alias("vec"))
@@ -157,7 +203,7 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 5, at_least: float
     def rerank(batch: pa.RecordBatch) -> pa.RecordBatch:
         u, v = matrix(batch.column(2), width), matrix(batch.column(3), width)
         cos = np.einsum("ij,ij->i", u, v) / np.linalg.norm(u, axis=1) / np.linalg.norm(v, axis=1)
-        good = pa.array(np.flatnonzero(cos >= at_least))
+        good = pa.array(np.flatnonzero(cos >= max(at_least, SURE)))
         return batch_of(cls=batch.column(0).take(good), near=batch.column(1).take(good), cosine=pa.array(cos).take(good))
 
     near = materialised(arrow_map(both, rerank, "cls binary, near binary, cosine double"))
@@ -167,6 +213,11 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 5, at_least: float
     firsts = rows.select(F.col("cls").alias("near"), F.col("digest").alias("neighbour"))
     firsts = firsts.withColumn("r", F.row_number().over(Window.partitionBy("near").orderBy("neighbour"))).where(F.col("r") <= k + 1).drop("r")
     around = best.unionByName(own).join(firsts, "near").select("cls", "neighbour", "cosine")
+    if at_least < SURE:
+        full = around.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).select("cls")  # itself is one
+        short = materialised(reps.join(full, "cls", "left_anti").repartition(max(1, min(n // ROWS, 1000))))
+        best = best.join(short.select("cls"), "cls", "left_anti").unionByName(materialised(exact(short, reps, k + 1, at_least, width)))
+        around = best.unionByName(own).join(firsts, "near").select("cls", "neighbour", "cosine")
     found = rows.select("cls", "digest").join(around, "cls").where(F.col("digest") != F.col("neighbour"))
     rank = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("cosine"), "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("digest", "neighbour", "cosine", "rank")

@@ -170,13 +170,13 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar digests of each digest, down to a similarity of 0.9."""
-    return neighbours.neighbours(table(spark, sf_dir, "vectors"), "digest", "vector")
+    """The five most similar digests of each digest, however similar."""
+    return neighbours.neighbours(table(spark, sf_dir, "vectors"), "digest", "vector", at_least=-2.0)
 
 
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = p6_neighbours(spark, sf_dir)
+    near = neighbours.neighbours(table(spark, sf_dir, "vectors"), "digest", "vector")
     return near.select(F.least("digest", "neighbour").alias("digest_a"), F.greatest("digest", "neighbour").alias("digest_b")).distinct()
 
 

@@ -168,6 +168,20 @@ def test_neighbours_recall(spark):
     assert neighbours.neighbours(df.limit(0), "digest", "vector").count() == 0
 
 
+def test_far_neighbours_are_found(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((200, 128))
+    x = np.concatenate([base, base[:40] + rng.standard_normal((40, 128)) * 0.3, np.repeat(base[:1], 9, axis=0)]).astype(np.float32)
+    df = spark.createDataFrame([(f"d{i:04d}", v.tolist()) for i, v in enumerate(x)], "digest string, vector array<float>")
+    got = {(r.digest, r.neighbour) for r in neighbours.neighbours(df, "digest", "vector", at_least=-2.0).collect()}
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    s = np.round(y @ y.T, 9)
+    np.fill_diagonal(s, -3)
+    assert got == {(f"d{i:04d}", f"d{j:04d}") for i in range(len(y)) for j in sorted(range(len(y)), key=lambda j: (-s[i, j], j))[:5]}
+
+
 def test_hot_bucket_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     rng = np.random.default_rng(5)
