@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -79,10 +80,26 @@ def first_in_flight(events: DataFrame, ts: str, keys: list[str], within: str = "
 
 
 def distinct_in_flight(events: DataFrame, ts: str, keys: list[str], order: str, seconds: int = JOB_SECONDS) -> DataFrame:
-    """Batch twin: events whose predecessor with the same keys lies further back than the time, or is missing."""
-    before = F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts, order))
-    late = (F.col(ts) - before) > F.make_dt_interval(secs=F.lit(seconds))
-    return events.withColumn("_late", F.coalesce(late, F.lit(True))).where("_late").drop("_late")
+    """Batch twin: events further than the time from the last admitted event with the same keys, or without one.
+
+    A fold over sorted rows that holds one event of the current keys, so that keys may have any number of events.
+    """
+    columns, most = events.columns, seconds * 1_000_000
+    rows = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(*keys).sortWithinPartitions(*keys, ts, order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running, last = None, None
+        for batch in batches:
+            kept = []
+            for i, (t, *own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_us", *keys)), strict=True)):
+                if own != running:
+                    running, last = own, None
+                if t is None or last is None or t - last > most:
+                    kept.append(i)
+                    last = t
+            yield batch.select(columns).take(pa.array(kept, pa.int64()))
+
+    return rows.mapInArrow(fold, events.schema)
 
 
 def ingest(spark, folder: str, schema, target: str, checkpoint: str) -> None:

@@ -40,3 +40,18 @@ def test_ingest_resumes(spark, tmp_path):
     spark.createDataFrame([(3,)], "x int").write.mode("append").parquet(str(tmp_path / "in"))
     usage.ingest(spark, str(tmp_path / "in"), a.schema, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r.x for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def test_in_flight_counts_from_the_admitted_event(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1, 3)
+    minutes = [0, 20, 40, 60, 80, 200]
+    rows = [(i, "u", t + dt.timedelta(minutes=m)) for i, m in enumerate(minutes)] + [(10, "v", t), (11, None, t), (12, None, t)]
+    df = spark.createDataFrame(rows, "event_id int, user string, ts timestamp")
+    batch = {r.event_id for r in usage.distinct_in_flight(df, "ts", ["user"], "event_id").collect()}
+    assert batch == {0, 2, 4, 5, 10, 11}
+    for i, m in enumerate(minutes):
+        df.where(F.col("event_id") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = usage.first_in_flight(source, "ts", ["user"]).writeStream.format("memory").queryName("flight_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r.event_id for r in spark.table("flight_out").collect()} <= batch
