@@ -3,8 +3,8 @@
 Page furniture and broken words are found line by line. Misrecognised characters inside words show by a symbol, digit
 or letter that no word has there, or by the corpus: a frequency lexicon of word forms, stems and word beginnings is
 built over all texts; words that neither it nor two of its entries together explain are looked up in a
-symmetric-delete index of its frequent entries, where both sides leave out one character. A weighted edit distance
-keeps pairs that differ in one letter of one syllable (or a known Latin confusion), and corpus bigrams with the words
+symmetric-delete index of its frequent entries, where both sides leave out one character. Pairs are
+kept that differ in one letter of one syllable (or a known Latin confusion, in all its places), and corpus bigrams with the words
 beside it choose between several repairs.
 """
 
