@@ -174,6 +174,13 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours(table(spark, sf_dir, "vectors"), "digest", "vector", at_least=-2.0)
 
 
+@query
+def p6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar embeddings of each, however similar."""
+    near = neighbours.neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", at_least=-2.0, width=64)
+    return near.withColumnsRenamed({"digest": "vec_id", "neighbour": "near_id"})
+
+
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbours.neighbours(table(spark, sf_dir, "vectors"), "digest", "vector")

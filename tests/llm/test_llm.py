@@ -191,6 +191,26 @@ def test_hot_bucket_blocks(spark, monkeypatch):
     assert got.groupBy("digest").count().where("count = 5").count() == 60
 
 
+def test_recall_holds_where_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    monkeypatch.setattr(neighbours, "BUCKET", 32)
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((12, 128))
+    of = np.r_[np.zeros(200, int), rng.integers(0, 12, 400)]  # one centre holds a third of all vectors
+    x = (centres[of] + 0.9 * rng.standard_normal((600, 128))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<float>")
+    got = {}
+    for r in neighbours.neighbours(df, "id", "vector", at_least=-2.0).collect():
+        got.setdefault(r.digest, set()).add(r.neighbour)
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    s = y @ y.T
+    np.fill_diagonal(s, -3)
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert all(len(got[i]) == 5 for i in range(600))
+    assert sum(len(got[i] & set(want[i].tolist())) for i in range(600)) >= 0.9 * 5 * 600
+
+
 # --- 7 look-alikes ----------------------------------------------------------------------------------------------
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="가각ᄀ́a̧é漢Ａ　 \n​рм①", max_size=30), max_size=5))
@@ -274,6 +294,6 @@ def test_stuffed(spark):
     assert spam.coherence(df.limit(0), "doc_id", "text").count() == 0
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p4_repaired", "p5_found", "p6_neighbours", "p9_fill", "p10_coherence"])
+@pytest.mark.parametrize("name", ["p2_found", "p4_repaired", "p5_found", "p6_neighbours", "p6_embeddings", "p9_fill", "p10_coherence"])
 def test_runs(spark, small, name):
     assert queries.QUERIES[name](spark, small).count() > 0
