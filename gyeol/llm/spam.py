@@ -1,9 +1,10 @@
 """Problem 10: keyword-stuffed pages, link lists and product tags.
 
-Corpus counts of neighbouring words give the pointwise mutual information of each pair. A page whose mean over its
-pairs leaves the band of running text (word salad below, stock collocations above), or that repeats its pairs far more
-than text does, is suspicious. Of suspicious pages, those are reported most of whose characters stand in lines of
-repeated keywords, links, navigation labels, tags or products.
+Corpus counts of neighbouring words give the pointwise mutual information of each pair; its mean over a page falls
+below that of running text where the page is word salad. A pair speaks for stuffing where the page repeats it, or both
+of its words, or the separator or link in it, far more than the rest of the corpus does. The characters of
+a page's lines are shared out among their pairs, lines of sentences, records, index entries and drills left aside, and a page
+is reported if the pairs that speak for stuffing hold most of it.
 """
 
 from __future__ import annotations
@@ -18,26 +19,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyeol.llm.textio import arrow_map, batch_of, materialised
+from gyeol.llm.textio import arrow_map, batch_of, materialised, sized_join
 from gyeol.llm.visual import canonical
 
-#: Words longer than this are written together; their neighbouring syllable pairs count as words.
+#: A word longer than this is text without spaces; its neighbouring pairs of characters count as words.
 LONG_WORD = 14
-#: The band of normalised mean mutual information of running text, and the share of repeated pairs it stays under.
-LOW, HIGH, REPEATED = 0.12, 0.60, 0.1
-#: Share of the pairs that hold the document's most frequent word or separator, from which it is suspicious.
-FOCUS = 0.25
-#: Share of characters in spam lines from which a page is reported.
-MOST = 0.5
+#: Below this normalised mean mutual information a page is word salad.
+LOW = 0.12
+#: Times that a page must say a pair or a word before it can be repeated too often, and how many times as often as the
+#: rest of the corpus, by the share of its words.
+AT_LEAST, PAIR_EXCESS, WORD_EXCESS = 3, 5, 8
+#: Share of the characters from which a page is stuffed: a line of repeated words has pairs between the repetitions too.
+STUFFED = 0.45
 
 _WORD = re.compile(r"https?://\S+|www\.\S+|\w+|[#>»|·/★]")
 _URL = re.compile(r"(?:https?://|www\.)\S+|\b[a-z0-9-]+\.(?:com|net|org|info|biz|kr|io|test|example|invalid|shop|site)\b(?:/\S*)?", re.I)
-_PRICE = re.compile(r"\d[\d,.]*\s?(?:원|만원|달러|엔|USD|KRW)(?!\w)|[$€₩¥£]\s?\d")
-_CODE = re.compile(r"상품\s?코드|\b[A-Z]{1,3}-\d{3,}\b|\bSKU\b|무료배송|당일발송|품절")
 _TAG = re.compile(r"(?:^|\s)#\w[\w]*")
-_LABELS = re.compile(r"\s*(?:[>»|·•/]|::|&gt;)\s*")
 _RECORD = re.compile(r"[(（](?:1[5-9]|20)\d\d[)）]|[『《〈]")
 _SENTENCE = re.compile(r"(?:다|까|라|요|오|네|나|자)[.!?…]|[a-z]{2,}[.!?](?:\s|$)|[。！？]")
+_INDEX = re.compile(r"^\D+[\s.…·]\d{1,4}(?:\s?[,、~-]\s?\d{1,4})*$")
 _MARKUP = re.compile(r"<[^<>\n]{1,200}>")
 _SEPARATORS = frozenset("#>»|·/★")
 #: English words that running text can't do without.
@@ -63,100 +63,128 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-def spam_share(text: str, words: list[str]) -> float:
-    """Share of the visible characters of a plain text that stand in spam lines."""
-    often = {w for w, n in Counter(words).items() if n >= 4}
-    bad = total = 0
+NUMBER, URL = "<number>", "<url>"
+
+
+def hashed(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
+
+
+#: Marks that hold lists together: too many of them speak for stuffing by themselves. Numbers never do.
+_MARKS = [hashed(w) for w in (*sorted(_SEPARATORS), URL)]
+
+
+def set_aside(line: str, words: list[str]) -> bool:
+    """Whether a line of plain text is a sentence, a record, an index entry or a drill, which may repeat what they like."""
+    named = [w for w in words if w not in _SEPARATORS]
+    if not named:
+        return True
+    urls = named.count(URL)
+    if _SENTENCE.search(line.replace("!", " ").replace("?", " ")) and not (urls and len(_URL.sub("", line).strip()) <= 12 + 14 * urls):
+        return True
+    if _RECORD.search(line) or _INDEX.match(line) or _FUNCTION.intersection(named):
+        return True
+    first = Counter(w[0] for w in named).most_common(1)[0][1]
+    return len(named) >= 3 and first >= 0.7 * len(named) and ("," in line or ":" in line)
+
+
+def weighed(text: str) -> tuple[int, int, dict[tuple[str, str], list]]:
+    """(visible characters, words, and for each pair of neighbouring words how often it occurs and the characters it stands for)."""
+    pairs: dict[tuple[str, str], list] = {}
+    total = count = 0
+    before = None
     for line in text.split("\n"):
         size = sum(map(len, line.split()))
         if not size:
             continue
         total += size
-        urls = _URL.findall(line)
-        if urls and not _RECORD.search(line):
-            if len(_URL.sub("", line).strip()) <= 12 + 14 * len(urls):
-                bad += size
-                continue
-        if len(_TAG.findall(line)) >= 2 and not _SENTENCE.search(_TAG.sub("", line)):
-            bad += size
+        words = words_of(line)
+        if not words:
             continue
-        if (_PRICE.search(line) or _CODE.search(line)) and (line.count("/") + line.count("|") >= 2 or (_PRICE.search(line) and _CODE.search(line))) and not _SENTENCE.search(line):
-            bad += size
-            continue
-        if _SENTENCE.search(line.replace("!", " ").replace("?", " ")):
-            continue
-        labels = [x for x in _LABELS.split(line) if x]
-        here = [w for w in words_of(line) if w not in _SEPARATORS]
-        if not here:
-            continue
-        if len(labels) >= 4 and size / len(labels) < 12 and len(set(labels)) <= 0.9 * len(labels):
-            bad += size
-            continue
-        repeated = sum(w in often for w in here)
-        first = Counter(w[0] for w in here).most_common(1)[0][1]
-        if repeated >= 0.75 * len(here) and not (len(here) >= 3 and first >= 0.7 * len(here) and ("," in line or ":" in line)) and not _FUNCTION.intersection(here):
-            bad += size
-    return bad / total if total else 0.0
+        count += len(words)
+        here = list(zip(words, words[1:], strict=False))
+        for p in here if before is None else [(before, words[0]), *here]:
+            pairs.setdefault(p, [0, 0.0])[0] += 1
+        before = words[-1]
+        if not set_aside(line, words):
+            here = here or [(words[0], words[0])]
+            for p in here:
+                pairs.setdefault(p, [0, 0.0])[1] += size / len(here)
+    return total, count, pairs
 
 
 def _pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, spam_share, words, focus, pairs (array of first, second, times): neighbouring words as 64-bit hashes.
-
-    focus is the share of the pairs that hold the most frequent word or separator.
-    """
+    """key, visible, words, pairs: of every pair its words as 64-bit hashes, how often it occurs (n), how often its words
+    stand first and second in a pair (na, nb), and the characters it stands for (weight)."""
     kind = df.schema[key].dataType.simpleString()
+    fields = (("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("na", pa.int32()), ("nb", pa.int32()), ("weight", pa.float32()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        share, count, focus, size, a, b, n = [], [], [], [], [], [], []
+        visible, count, size = [], [], []
+        flat: list[list] = [[] for _ in fields]
         hashes: dict[str, int] = {}
         for t in plain(batch.column(1).to_pylist()):
-            words = words_of(t)
-            for w in words:
+            total, words, pairs = weighed(t)
+            visible.append(total), count.append(words), size.append(len(pairs))
+            first, second = Counter(), Counter()
+            for (x, y), (n, _) in pairs.items():
+                first[x] += n
+                second[y] += n
+            for w in first.keys() | second.keys():
                 if w not in hashes:
-                    hashes[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
-            pairs = Counter(zip(words, words[1:], strict=False))
-            share.append(spam_share(t, words)), count.append(len(words)), size.append(len(pairs))
-            top = Counter(words).most_common(1)[0][0] if len(words) > 1 else None
-            focus.append(sum(k for p, k in pairs.items() if top in p) / (len(words) - 1) if top else None)
-            for (x, y), k in pairs.items():
-                a.append(hashes[x]), b.append(hashes[y]), n.append(k)
-        items = pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], names=["a", "b", "n"])
+                    hashes[w] = hashed(w)
+            for (x, y), (n, weight) in pairs.items():
+                na, nb = (0 if w == NUMBER else c for w, c in ((x, first[x]), (y, second[y])))
+                for column, value in zip(flat, (hashes[x], hashes[y], n, na, nb, weight), strict=True):
+                    column.append(value)
+        items = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(flat, fields, strict=True)], names=[n for n, _ in fields])
         pairs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), items)
-        return batch_of(**{key: batch.column(0)}, spam_share=(share, pa.float64()), words=(count, pa.int64()), focus=(focus, pa.float64()), pairs=pairs)
+        return batch_of(**{key: batch.column(0)}, visible=(visible, pa.int64()), words=(count, pa.int64()), pairs=pairs)
 
     rows = df.select(key, F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    return arrow_map(rows, run, f"`{key}` {kind}, spam_share double, words bigint, focus double, pairs array<struct<a:bigint,b:bigint,n:int>>")
+    return arrow_map(rows, run, f"`{key}` {kind}, visible bigint, words bigint, pairs array<struct<a:bigint,b:bigint,n:int,na:int,nb:int,weight:float>>")
 
 
-def pair_information(pairs: DataFrame) -> DataFrame:
-    """a, b, npmi of every pair of the corpus, from counts over all documents."""
+def pair_information(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(a, b, c, ca, cb, npmi) of every pair of the corpus, from counts over all documents, and the number of all pairs."""
     counts = materialised(pairs.groupBy("a", "b").agg(F.sum("n").alias("c")))
     total = counts.agg(F.sum("c")).first()[0] or 1
-    left = counts.groupBy("a").agg(F.sum("c").alias("ca"))
-    right = counts.groupBy("b").agg(F.sum("c").alias("cb"))
+    sides = [materialised(counts.groupBy(w).agg(F.sum("c").alias(f"c{w}"))) for w in ("a", "b")]
+    for w, side in zip(("a", "b"), sides, strict=True):
+        counts = sized_join(counts, side, [w])
     p = F.col("c") / total
     pmi = F.log(F.col("c") * F.lit(float(total)) / (F.col("ca") * F.col("cb").cast("double")))
-    npmi = F.when(p >= 1, 1.0).otherwise(pmi / -F.log(p))
-    return counts.join(left, "a").join(right, "b").select("a", "b", npmi.alias("npmi"))
+    npmi = F.when(F.col("c") <= 0, None).when(p >= 1, 1.0).otherwise(pmi / -F.log(p))
+    return counts.select("a", "b", "c", "ca", "cb", npmi.alias("npmi")), total
 
 
 def coherence(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, words, npmi (mean over the neighbouring pairs), repeated_pairs (share of pairs that say an earlier one
-    again), focus, spam_share, suspicious.
+    again), stuffing (share of the visible characters that pairs repeated in excess stand for), suspicious.
 
-    Null texts give no row; texts of fewer than two words have a null npmi and aren't suspicious. Each row counts as a
-    document; repeated keys give repeated rows.
+    Null texts give no row; texts of fewer than two words have a null npmi, those without anything to see no stuffing, and
+    neither is suspicious. Each row counts as a document; repeated keys give repeated rows.
     """
-    docs = materialised(_pairs(df, key, text))
-    exploded = docs.select(key, F.explode("pairs").alias("p")).select(key, "p.a", "p.b", "p.n")
-    scored = exploded.join(pair_information(exploded), ["a", "b"])
+    docs = materialised(_pairs(df, key, text).withColumn("_row", F.monotonically_increasing_id()))
+    exploded = docs.select("_row", F.explode("pairs").alias("p"), F.greatest(F.col("words") - 1, F.lit(1)).alias("size")).select("_row", "size", "p.*")
+    information, total = pair_information(exploded)
+    scored = exploded.join(information, ["a", "b"])
+    # what a page has of a pair or word, against the rest of the corpus
+    rest = lambda here, all_of: F.col("size") * (F.col(all_of) - F.col(here) + 0.5) / total
+    pair = (F.col("n") >= AT_LEAST) & (F.col("n") >= PAIR_EXCESS * F.col("size") * (F.col("c") - F.col("n")) / total)
+    left, right = ((F.col(here) >= AT_LEAST) & (F.col(here) >= WORD_EXCESS * rest(here, all_of)) for here, all_of in (("na", "ca"), ("nb", "cb")))
+    excess = pair | (left & right) | (left & F.col("a").isin(_MARKS)) | (right & F.col("b").isin(_MARKS))
     n = F.sum("n")
-    means = scored.groupBy(key).agg((F.sum(F.col("n") * F.col("npmi")) / n).alias("npmi"), (1 - F.count(F.lit(1)) / n).alias("repeated_pairs"))
-    joined = docs.drop("pairs").join(means, key, "left")
-    suspicious = F.coalesce((F.col("npmi") < LOW) | (F.col("npmi") > HIGH) | (F.col("repeated_pairs") > REPEATED) | (F.col("focus") > FOCUS), F.lit(False))
-    return joined.withColumn("suspicious", suspicious)
-
-
-def stuffed(df: DataFrame, key: str, text: str, most: float = MOST) -> DataFrame:
-    """Keys of the suspicious documents most of whose text is keywords, links, labels, tags or products."""
-    return coherence(df, key, text).where(F.col("suspicious") & (F.col("spam_share") > most)).select(key).distinct()
+    means = scored.groupBy("_row").agg(
+        F.try_divide(F.sum(F.col("n") * F.col("npmi")), n).alias("npmi"),
+        (1 - F.try_divide(F.count_if(F.col("n") > 0), n)).alias("repeated_pairs"),
+        F.sum(F.when(excess, F.col("weight").cast("double")).otherwise(0.0)).alias("held"),
+    )
+    joined = docs.drop("pairs").join(means, "_row", "left").withColumn("stuffing", F.coalesce(F.try_divide("held", "visible"), F.lit(0.0)))
+    suspicious = F.coalesce(F.col("npmi") < LOW, F.lit(False)) | (F.col("stuffing") > STUFFED)
+    return joined.select(key, "words", "npmi", "repeated_pairs", "stuffing", suspicious.alias("suspicious"))
+
+
+def stuffed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Keys of the suspicious documents: word salad, and pages most of which is repeated in excess."""
+    return coherence(df, key, text).where("suspicious").select(key).distinct()
