@@ -4,13 +4,17 @@ Page furniture and broken words are found line by line. Misrecognised characters
 or letter that no word has there, or by the corpus: a frequency lexicon of word forms, stems and word beginnings is
 built over all texts; words that neither it nor two of its entries together explain are looked up in a
 symmetric-delete index of its frequent entries, where both sides leave out one character. Pairs are
-kept that differ in one letter of one syllable (or a known Latin confusion, in all its places), and corpus bigrams with the words
-beside it choose between several repairs.
+kept that differ in one letter of one syllable, weighted by how usual it is for the scanner to take that letter for the
+other: these weights are learned from long words, where a pair is no chance. A stem that is itself a usual misreading of
+a far more frequent one explains nothing. Latin words are looked up by known confusions, each in each of its places.
+Corpus bigrams with the words beside it choose between several repairs.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,12 @@ from gyeol.llm.visual import canonical
 
 #: A repair must be so many times as frequent as the word it replaces; parts must be so many times as frequent to explain it.
 RATIO, EXPLAINS = 20, 4
+#: Confusions of letters are learned from words of so many syllables, where a pair is no chance. One is usual if the
+#: scanner makes at least this share of a letter's misreadings by it; a letter that is seldom misread is judged by what others
+#: become, as if PRIOR[0] more cases said so, and what none becomes is ruled out the later the higher PRIOR[1] is.
+LONG, USUAL, PRIOR = 4, 0.1, (2, 40)
+#: Longer runs without a space are looked up in windows of so many characters, each half over the one before.
+LONGEST = 40
 HYPHENS = "-‐‑¬­－"
 #: What may stand between syllables of a scanned word only by mistake.
 SYMBOLS = "�&}{@\\\\§¥«»¢®™€†λ°¤^_£©¶±×=<>|#*+;"
@@ -37,15 +47,15 @@ _NUMERAL = r"[0-9lIOoZzSB]{1,4}"
 _ONLY_NUMBER = re.compile(rf"^[\s\-–—|〔\[(.·]*(?:[pP]\.?\s*)?({_NUMERAL})\s*(?:쪽)?[\s\-–—|〕\]).·]*$")
 _NUMBER_FIRST = re.compile(rf"^[\s\-–—|〔\[(]*(?:[pP]\.?\s*)?({_NUMERAL})\s*(?:쪽)?(?:\s*[\-–—|〕\])]\s*|\s+)(?=\S)")
 _NUMBER_LAST = re.compile(rf"(?:\s*[\-–—|〔\[(]\s*|\s+)(?:[pP]\.?\s*)?({_NUMERAL})\s*(?:쪽)?[\s\-–—|〕\])]*$")
-_CHAPTER = re.compile(r"^제\s?[0-9lIOoZzSB]{1,3}\s?(?:장|[^\s가-힣0-9])\s*·?\s*\S")
+_CHAPTER = re.compile(rf"^(?:제|[{SYMBOLS}%])\s?[0-9lIOoZzSB]{{1,3}}\s?(?:장|[^\s가-힣0-9])\s*·?\s*\S")
 _ENDED = re.compile(r"[.!?。！？][”’」』)\]\"]*$")
 _HANGUL_WORD = re.compile(r"(?=[*]?[가-힣])[가-힣*]{2,}|[A-Za-z]{3,}")
 #: A character inside a word that can't be right; * stands for it when the word is looked up.
 _ALIENS = re.compile("|".join(p.pattern for p in (_SYMBOL_IN_WORD, _ALIEN_IN_WORD, _ALIEN_BEFORE, _ALIEN_AFTER)))
 #: Particles and endings that stems take.
-PARTICLES = "은 는 이 가 을 를 의 에 로 와 과 도 만 에서 에게 으로 이나 부터 까지 처럼 보다 이다 하다 한다 된다 들".split()
+PARTICLES = "은 는 이 가 을 를 의 에 로 와 과 도 만 에서 에게 으로 이나 부터 까지 처럼 보다 이다 하다 한다 된다 들 니 면 고 며".split()
 #: Latin letters that scanners take for one another.
-LATIN_CONFUSIONS = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("ii", "u"), ("1", "l"), ("0", "o"), ("i", "l"), ("c", "e"), ("t", "f"))
+LATIN_CONFUSIONS = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("ii", "u"), ("i", "l"), ("c", "e"), ("t", "f"))
 
 
 def edge_lines(lines: list[str]) -> list[int]:
@@ -106,10 +116,15 @@ def junk_lines(lines: list[str]) -> list[bool]:
     return (junk | ((c("symbols") > 0.1 * c("visible")) & (c("latin") > 0.4 * c("visible")) & (c("hangul") == 0) & (c("visible") > 8))).tolist()
 
 
-def read_lines(text: str, title: str | None, page: bool) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
-    """(line_no, noise) seen without a lexicon, and (line_no, word) of the words to look up; text is canonical.
+def windows(word: str, most: int = LONGEST) -> list[tuple[int, str]]:
+    """The word, or of a run longer than any word its overlapping parts, each with its start."""
+    return [(0, word)] if len(word) <= most else [(i, word[i : i + most]) for i in range(0, len(word) - most // 2, most // 2)]
 
-    A word broken across lines belongs to the line it begins in.
+
+def read_lines(text: str, title: str | None, page: bool) -> tuple[list[tuple[int, str]], list[tuple[int, str, int]]]:
+    """(line_no, noise) seen without a lexicon, and (line_no, word, cut) of the words to look up; text is canonical.
+
+    A word broken across lines belongs to the line it begins in, which holds its first `cut` characters; 0 for other words.
     """
     lines = text.split("\n")
     junk = junk_lines(lines)
@@ -141,7 +156,8 @@ def read_lines(text: str, title: str | None, page: bool) -> tuple[list[tuple[int
         for k, (at, w) in enumerate(found):
             if broken and k == len(found) - 1 and at + len(w) == len(carried + body):
                 continue
-            words.append((no - 1 if carried and at == 0 else no, w))
+            over = len(carried) if at == 0 else 0
+            words += [(no - 1 if over > start else no, x, max(0, over - start)) for start, x in windows(w)]
         tail = re.search(r"[가-힣]+$|[A-Za-z]+$", carried + body) if broken else None
         carried = tail.group() if tail else ""
     return noise, words
@@ -153,7 +169,7 @@ def _mark_soft_hyphens(t: str) -> str:
 
 
 def scanned(df: DataFrame, keys: list[str], text: str, title: str, page: str) -> DataFrame:
-    """keys, noise (array of line_no, noise), words (array of line_no, word), digest (of the canonical text) of every
+    """keys, noise (array of line_no, noise), words (array of line_no, word, cut), digest (of the canonical text) of every
     row's non-null text."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
@@ -162,15 +178,15 @@ def scanned(df: DataFrame, keys: list[str], text: str, title: str, page: str) ->
         texts = canonical_lines(batch.column(k).to_pylist())
         out = [read_lines(t, title, page) for t, title, page in zip(texts, batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist(), strict=True)]
         arrays = []
-        for part, name in ((0, "noise"), (1, "word")):
+        for part, names in ((0, ("line_no", "noise")), (1, ("line_no", "word", "cut"))):
             flat = [x for o in out for x in o[part]]
-            items = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.string())], names=["line_no", name])
+            items = pa.StructArray.from_arrays([pa.array([x[j] for x in flat], pa.string() if j == 1 else pa.int32()) for j in range(len(names))], names=names)
             arrays.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(o[part]) for o in out])], pa.int32()), items))
         digests = [xxhash.xxh128_digest(" ".join(t.split())) for t in texts]
         return batch_of(**{c: batch.column(i) for i, c in enumerate(keys)}, noise=arrays[0], words=arrays[1], digest=(digests, pa.binary()))
 
     rows = df.select(*keys, F.col(text).alias("_t"), F.col(title).alias("_b"), F.col(page).alias("_p")).where(F.col("_t").isNotNull())
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "noise array<struct<line_no:int,noise:string>>, words array<struct<line_no:int,word:string>>, digest binary"])
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "noise array<struct<line_no:int,noise:string>>, words array<struct<line_no:int,word:string,cut:int>>, digest binary"])
     return arrow_map(rows, run, schema)
 
 
@@ -215,13 +231,38 @@ def _wild(column: str):
     return F.expr(f"transform(sequence(1, length({column})), i -> concat(substring({column}, 1, i - 1), '*', substring({column}, i + 1)))")
 
 
-def letters_apart(a: str, b: str, at: str):
-    """How many of the three letters of the syllable at a place differ between two words of Hangul."""
+def confusion(a: str, b: str, at: str):
+    """The one letter in which the syllables at a place of two words of Hangul differ (kind * 10000 + b's * 100 + a's); else null."""
     x, y = (F.expr(f"ascii(substring({w}, {at}, 1)) - 44032") for w in (a, b))
-    lead = (F.floor(x / 588) != F.floor(y / 588)).cast("int")
-    vowel = (F.floor(x % 588 / 28) != F.floor(y % 588 / 28)).cast("int")
-    coda = (x % 28 != y % 28).cast("int")
-    return lead + vowel + coda
+    letters = [(F.floor(v / 588), F.floor(v % 588 / 28), v % 28) for v in (x, y)]
+    same = [p == q for p, q in zip(*letters, strict=True)]
+    of = [F.lit(k * 10000) + q * 100 + p for k, (p, q) in enumerate(zip(*letters, strict=True))]
+    hangul = x.between(0, 11171) & y.between(0, 11171)
+    return F.when(hangul & ~same[0] & same[1] & same[2], of[0]).when(hangul & same[0] & ~same[1] & same[2], of[1]).when(hangul & same[0] & same[1] & ~same[2], of[2])
+
+
+def _apart(parts: DataFrame, index: DataFrame) -> DataFrame:
+    """parts (x, key) with entries v, m of the index that have the same place left out; `swap` is their one different letter."""
+    pairs = parts.join(index, "key").where(F.col("x") != F.col("v")).withColumn("at", F.instr("key", "*"))
+    return pairs.withColumn("swap", F.when(~F.col("x").contains("*"), confusion("x", "v", "at")))
+
+
+def usual(pairs: DataFrame) -> list[int]:
+    """The usual confusions, from pairs (x, v, swap) of long words, each counted once; there are some 1,500 kinds at most."""
+    counts = pairs.where((F.length("x") >= LONG) & F.col("swap").isNotNull()).select("x", "v", "swap").distinct().groupBy("swap").count().collect()
+    of, right, wrong, total = {r.swap: r["count"] for r in counts}, Counter(), Counter(), Counter()
+    for s, n in of.items():
+        right[s // 100] += n
+        wrong[s // 10_000, s % 100] += n
+        total[s // 10_000] += n
+    out = []
+    for kind, letters in enumerate((19, 21, 28)):
+        for r, w in itertools.permutations(range(letters), 2):
+            s = kind * 10_000 + r * 100 + w
+            become = (wrong[kind, w] + PRIOR[1]) / (total[kind] + PRIOR[1])
+            if (of.get(s, 0) + PRIOR[0] * become) / (right[s // 100] + PRIOR[0]) >= USUAL:
+                out.append(s)
+    return out
 
 
 def repairs(forms: DataFrame) -> DataFrame:
@@ -238,9 +279,18 @@ def repairs(forms: DataFrame) -> DataFrame:
     starts = _cuts(e).join(frequent.select(F.col("word").alias("right_part")).where(F.length("right_part") >= 2), "right_part", "left_semi")
     starts = starts.groupBy(F.col("left_part").alias("word")).agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("m") >= EXPLAINS)
     known = materialised(e.where(F.col("m") >= EXPLAINS).unionByName(stems).unionByName(starts).groupBy("word").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("n").alias("total")))
+    index = materialised(known.where((F.col("m") >= RATIO) & (F.length("word") >= 2)).select(F.col("word").alias("v"), "m").withColumn("key", F.explode(_wild("v"))))
+    ending = f"^(?:{'|'.join(PARTICLES)})$"
+    last = F.expr("at = length(x)") & F.expr("substring(x, length(x), 1)").isin(*(p for p in PARTICLES if len(p) == 1))
+    # what the scanner takes for what shows in long words; a known stem that it makes out of a far more frequent one is doubtful
+    seen = e.select("word", F.col("n").alias("total")).unionByName(known.select("word", "total")).where(F.length("word") >= 2).groupBy("word").agg(F.max("total").alias("total"))
+    again = _apart(seen.select(F.col("word").alias("x"), "total").withColumn("key", F.explode(_wild("x"))), index)
+    again = materialised(again.where((F.col("m") >= RATIO * F.col("total")) & ~last).select("x", "v", "swap"))
+    is_usual = F.col("swap").isin(usual(again))
+    doubtful = materialised(again.where(F.col("swap").isNotNull() & is_usual).select(F.col("x").alias("word")).distinct())
+    known = materialised(known.join(doubtful, "word", "left_anti"))
     size = known.count()
     # explained: a stem with a particle, or two known parts, each far more frequent than the word
-    ending = f"^(?:{'|'.join(PARTICLES)})$"
     left, right = (known.select(F.col("word").alias(p), F.col("n").alias(f"{p}_n")) for p in ("left_part", "right_part"))
     cuts = sized_join(sized_join(_cuts(e), left, ["left_part"], "left", size), right, ["right_part"], "left", size)
     cuts = materialised(cuts)
@@ -265,16 +315,14 @@ def repairs(forms: DataFrame) -> DataFrame:
     parts = parts.unionByName(starred.select("word", "n", F.lit("").alias("before"), F.col("word").alias("x"), F.lit("").alias("after"), F.col("n").alias("own"), F.col("word").alias("key")))
     parts = parts.unionByName(from_left.select("word", "n", F.col("left_part").alias("before"), F.col("right_part").alias("x"), F.lit("").alias("after"), F.col("n").alias("own"), F.col("right_part").alias("key")))
     parts = parts.unionByName(from_right.select("word", "n", F.lit("").alias("before"), F.col("left_part").alias("x"), F.col("right_part").alias("after"), F.col("n").alias("own"), F.col("left_part").alias("key")))
-    index = known.where((F.col("m") >= RATIO) & (F.length("word") >= 2)).select(F.col("word").alias("v"), "m").withColumn("key", F.explode(_wild("v")))
-    pairs = parts.join(index, "key").where((F.col("x") != F.col("v")) & (F.col("x").contains("*") | (F.col("m") >= RATIO * F.col("own"))))
-    # both sides left out the same place, so that the words differ there and nowhere else
-    pairs = pairs.withColumn("at", F.instr("key", "*")).where(F.col("x").contains("*") | (letters_apart("x", "v", "at") == 1))
+    pairs = _apart(parts, index).where(F.col("x").contains("*") | (F.col("swap").isNotNull() & (F.col("m") >= RATIO * F.col("own"))))
+    pairs = pairs.where(F.col("x").contains("*") | is_usual | (F.length("word") > LONG))
     # a last syllable that is a particle on both sides is inflection, not damage
-    last = F.expr("at = length(x)") & (F.col("after") == "") & F.expr("substring(x, length(x), 1)").isin(*(p for p in PARTICLES if len(p) == 1))
-    hangul_pairs = pairs.where(F.col("x").contains("*") | ~last).select("word", "n", F.concat("before", "v", "after").alias("repair"), "m")
+    hangul_pairs = pairs.where(F.col("x").contains("*") | ~(last & (F.col("after") == ""))).select("word", "n", F.concat("before", "v", "after").alias("repair"), "m")
     latin = forms.where(F.col("word").rlike("^[A-Za-z]+$")).select(F.lower("word").alias("word"), "n", "m").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    swaps = [F.regexp_replace("word", a, b) for a, b in LATIN_CONFUSIONS if a.isalpha()]
-    tried = latin.drop("m").withColumn("repair", F.explode(F.array_distinct(F.array(*swaps)))).where(F.col("repair") != F.col("word"))
+    swap = "transform(filter(sequence(1, length(word)), i -> substring(word, i, {n}) = '{a}'), i -> concat(substring(word, 1, i - 1), '{b}', substring(word, i + {n})))"
+    swaps = [F.expr(swap.format(a=a, b=b, n=len(a))) for a, b in LATIN_CONFUSIONS] + [F.array(F.regexp_replace("word", a, b)) for a, b in LATIN_CONFUSIONS]
+    tried = latin.drop("m").withColumn("repair", F.explode(F.array_distinct(F.concat(*swaps)))).where(F.col("repair") != F.col("word"))
     latin_pairs = tried.join(latin.select(F.col("word").alias("repair"), "m"), "repair").where((F.col("m") >= RATIO * F.col("n")) & (F.col("m") >= RATIO)).select("word", "n", "repair", "m")
     return materialised(hangul_pairs.unionByName(latin_pairs).groupBy("word", "repair").agg(F.max("m").alias("m"), F.max("n").alias("n")))
 
@@ -310,10 +358,14 @@ def noise(df: DataFrame, keys: list[str], text: str, title: str, page: str) -> t
     items = materialised(scanned(df, keys, text, title, page).withColumn("_row", F.monotonically_increasing_id()))
     plain = items.select(*keys, F.explode("noise").alias("x")).select(*keys, "x.line_no", "x.noise")
     found = repairs(lexicon(items))
-    n = found.select("word").distinct().count()
-    flat = items.select(*keys, F.explode("words").alias("w")).select(*keys, "w.line_no", F.col("w.word").alias("word"))
+    # the place of the wrong character tells which line of a broken word has it
+    place = "filter(sequence(1, length(word)), i -> substring(word, i, 1) <> substring(repair, i, 1))"
+    places = materialised(found.groupBy("word").agg(F.max_by("repair", F.struct("m", "repair")).alias("repair")).select("word", F.coalesce(F.expr(f"get({place}, 0)"), F.lit(1)).alias("at")))
+    flat = items.select(*keys, F.explode("words").alias("w")).select(*keys, "w.line_no", "w.word", "w.cut")
     lower = F.when(F.col("word").rlike("^[A-Za-z]"), F.lower("word")).otherwise(F.col("word"))
-    wrong = sized_join(flat.withColumn("word", lower), found.select("word").distinct(), ["word"], "left_semi", n).select(*keys, "line_no", F.lit("misread").alias("noise"))
+    wrong = sized_join(flat.withColumn("word", lower), places, ["word"])
+    line = F.when((F.col("cut") > 0) & (F.col("at") > F.col("cut")), F.col("line_no") + 1).otherwise(F.col("line_no"))
+    wrong = wrong.select(*keys, line.alias("line_no"), F.lit("misread").alias("noise"))
     return plain.unionByName(wrong).distinct(), found, items
 
 
