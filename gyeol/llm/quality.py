@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from gyeol.llm.textio import arrow_map, batch_of, slices
 
 CHUNK = 32_768
-#: Of a line or word cut by a chunk's edge, only so many code points at either end are kept.
-EDGE = 160
-FAN_IN = 64
+#: States merged by one task; LEVELS of the tree are enough for the longest string there can be.
+FAN_IN, LEVELS = 64, 3
+#: An address at the end of a record has no more code points than this.
+ADDRESS = 2000
 
 #: Frequent function words of the languages in the books.
 COMMON_WORDS = frozenset(
@@ -33,7 +34,8 @@ _INNER_END = re.compile(r"[.!?。．！？][\"”’」』)）\]]*(?=\s|$|[가-
 _BULLET = re.compile(r"\s*(?:[•·▪○●■□◆◇▶▷※∙‣◦*]|[-–—－](?=\s))\s*\S")
 _NUMBERED = re.compile(r"\s*(?:[(（]?(?:\d{1,3}|[가-하ㄱ-ㅎ]|[a-zA-Z])[)）]|\d{1,3}[.．](?=\s)|[①-⑳㉠-㉻])\s*\S")
 _ENTRY = re.compile(r"^\S.{0,60}?(?:\s{2,}|[.·…]{3,}\s*|\t)\d[\d,、，\s\-–－~]*$")
-_RECORD = re.compile(r"[,，]\s*(?:\d{4}|[^,，]{1,12}출판)[.．]?\s*(?:\S+://\S+)?$|[(（]\d{4}[)）][,，].*[,，]")
+_RECORD_END = re.compile(r"[,，]\s*(?:\d{4}|[^,，]{1,12}출판)[.．]?\s*(?:\S+://\S+)?$")
+_RECORD = re.compile(r"[(（]\d{4}[)）][,，].*[,，]")
 _PREDICATE = re.compile(r"(?:\S다|까|요|시오)[\"”’」』)）]*\s*$")
 _HANGUL = re.compile(r"[가-힣ᄀ-ᄒ]")
 _HANJA = re.compile(r"[㐀-鿿豈-﫿]")
@@ -91,40 +93,26 @@ def word_counts(words: list[str]) -> list[int]:
     ]
 
 
-#: A line's fragment: (length, head, tail, tabs, bars, gaps, commas, inner sentence ends).
+#: The parts of a line that chunks have cut, in order: they are put together when the line is complete.
 Fragment = tuple
-NO_LINE: Fragment = (0, "", "", 0, 0, 0, 0, 0)
+NO_LINE: Fragment = ()
 
 
-def fragment(s: str) -> Fragment:
-    return (len(s), s[:EDGE], s[-EDGE:], s.count("\t"), s.count("|"), len(_GAP.findall(s)), s.count(",") + s.count("，") + s.count("、"), len(_INNER_END.findall(s)))
-
-
-def join(a: Fragment, b: Fragment) -> Fragment:
-    """The fragment of a line whose two parts lie in neighbouring chunks."""
-    if not a[0] or not b[0]:
-        return b if not a[0] else a
-    head = a[1] if a[0] >= EDGE else (a[1] + b[1])[:EDGE]
-    tail = b[2] if b[0] >= EDGE else (a[2] + b[2])[-EDGE:]
-    # gaps and end marks that lie across the seam, or only seemed to end at it
-    gaps, ends = (len(p.findall(a[2] + b[1])) - len(p.findall(a[2])) - len(p.findall(b[1])) for p in (_GAP, _INNER_END))
-    return (a[0] + b[0], head, tail, a[3] + b[3], a[4] + b[4], a[5] + b[5] + gaps, a[6] + b[6], a[7] + b[7] + ends)
-
-
-def line_counts(f: Fragment) -> list[int]:
+def line_counts(line: str) -> list[int]:
     """[lines, ended, list, table, comma items, sentence ends] of one complete line."""
-    n, head, tail, tabs, bars, gaps, commas, ends = f
-    if not head.strip() and not tail.strip():
+    if not line.strip():
         return [0] * 6
-    if not (head + tail).isascii():
-        head, tail = unicodedata.normalize("NFC", head), unicodedata.normalize("NFC", tail)
-    whole = head if n <= EDGE else head + tail
-    ended = _SENTENCE_END.search(tail) is not None
+    inner = len(_INNER_END.findall(line))
+    commas = line.count(",") + line.count("，") + line.count("、")
+    tabs, bars, gaps = line.count("\t"), line.count("|"), len(_GAP.findall(line))
+    whole = (line if line.isascii() else unicodedata.normalize("NFC", line)).rstrip()
+    ended = _SENTENCE_END.search(whole, max(0, len(whole) - ADDRESS)) is not None
     table = tabs >= 1 or bars >= 2 or (gaps >= 2 and not ended)
-    entry = not table and not ended and (_ENTRY.search(whole) is not None or _RECORD.search(whole) is not None)
-    bullet = _BULLET.match(head) is not None or _NUMBERED.match(head) is not None
-    listed = not table and (entry or (bullet and not ended and not _PREDICATE.search(tail)) or (bars == 0 and _RECORD.search(whole) is not None))
-    return [1, ended, listed, table, commas, ends]
+    record = _RECORD_END.search(whole, max(0, len(whole) - ADDRESS)) is not None or _RECORD.search(whole) is not None
+    entry = not table and not ended and (record or _ENTRY.search(whole) is not None)
+    bullet = _BULLET.match(whole) is not None or _NUMBERED.match(whole) is not None
+    listed = not table and (entry or (bullet and not ended and not _PREDICATE.search(whole, max(0, len(whole) - ADDRESS))) or (bars == 0 and record))
+    return [1, ended, listed, table, commas, inner]
 
 
 def partial(s: str, first: bool, last: bool, chars: list[int] | None = None) -> tuple:
@@ -136,21 +124,18 @@ def partial(s: str, first: bool, last: bool, chars: list[int] | None = None) ->
     if left and not whole_word and not right and not words and not last and not s[-1].isspace():
         whole_word = True
     lines = s.split("\n")
-    line_right = fragment(lines.pop()) if not last else NO_LINE
+    line_right = (lines.pop(),) if not last else NO_LINE
     one_line = not lines and not last
     line_left = NO_LINE
     if not first and lines:
-        line_left = fragment(lines.pop(0))
+        line_left = (lines.pop(0),)
     elif not first and last:
         pass
     n = [0] * 6
     for x in lines:
-        n = [a + b for a, b in zip(n, line_counts(fragment(x)), strict=True)]
-    return chars or char_counts([s])[0], word_counts(words), n, whole_word, left, right, one_line, line_left, line_right
-
-
-def clip(w: str) -> str:
-    return w if len(w) <= 2 * EDGE else w[:EDGE] + w[-EDGE:]
+        n = [a + b for a, b in zip(n, line_counts(x), strict=True)]
+    edge = lambda w: (w,) if w else ()
+    return chars or char_counts([s])[0], word_counts(words), n, whole_word, edge(left), edge(right), one_line, line_left, line_right
 
 
 def merge(a: tuple, b: tuple) -> tuple:
@@ -159,25 +144,25 @@ def merge(a: tuple, b: tuple) -> tuple:
     chars, words, lines = plus(a[0], b[0]), plus(a[1], b[1]), plus(a[2], b[2])
     # words
     if a[3] and b[3]:
-        one_word, left, right = True, clip(a[4] + b[4]), ""
+        one_word, left, right = True, a[4] + b[4], ()
     elif a[3]:
-        one_word, left, right = False, clip(a[4] + b[4]), b[5]
+        one_word, left, right = False, a[4] + b[4], b[5]
     elif b[3]:
-        one_word, left, right = False, a[4], clip(a[5] + b[4])
+        one_word, left, right = False, a[4], a[5] + b[4]
     else:
         one_word, left, right = False, a[4], b[5]
-        if middle := clip(a[5] + b[4]):
+        if middle := "".join(a[5] + b[4]):
             words = plus(words, word_counts([middle]))
     # lines: a chunk without line feed is one fragment, kept at its right
     if a[6] and b[6]:
-        one, l_left, l_right = True, NO_LINE, join(a[8], b[8])
+        one, l_left, l_right = True, NO_LINE, a[8] + b[8]
     elif a[6]:
-        one, l_left, l_right = False, join(a[8], b[7]), b[8]
+        one, l_left, l_right = False, a[8] + b[7], b[8]
     elif b[6]:
-        one, l_left, l_right = False, a[7], join(a[8], b[8])
+        one, l_left, l_right = False, a[7], a[8] + b[8]
     else:
         one, l_left, l_right = False, a[7], b[8]
-        lines = plus(lines, line_counts(join(a[8], b[7])))
+        lines = plus(lines, line_counts("".join(a[8] + b[7])))
     return chars, words, lines, one_word, left, right, one, l_left, l_right
 
 
@@ -185,11 +170,10 @@ def closed(p: tuple) -> list[int]:
     """All counts of a whole text, the words and lines at its outer edges included."""
     words, lines = p[1], p[2]
     for w in (p[4], p[5]):
-        if w:
-            words = [a + b for a, b in zip(words, word_counts([w]), strict=True)]
+        if word := "".join(w):
+            words = [a + b for a, b in zip(words, word_counts([word]), strict=True)]
     for f in (p[7], p[8]):
-        if f[0]:
-            lines = [a + b for a, b in zip(lines, line_counts(f), strict=True)]
+        lines = [a + b for a, b in zip(lines, line_counts("".join(f)), strict=True)]
     return [*p[0], *words, *lines]
 
 
@@ -223,14 +207,17 @@ def _counted(df: DataFrame, key: str, kind: str, text: str, chunk: int) -> DataF
     def parts(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = b.column(2).to_pylist()
         made = [pickle.dumps(partial(t, False, False, n)) for t, n in zip(texts, char_counts(texts), strict=True)]
-        return batch_of(**{key: b.column(0)}, no=b.column(1), part=(made, pa.binary()))
+        return batch_of(**{key: b.column(0)}, doc=b.column(3), no=b.column(1), part=(made, pa.binary()))
 
-    pieces = (
-        df.where(F.length(text) > chunk)
-        .select(key, F.col(text).alias("_t"), F.explode(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / chunk).cast("int"))).alias("no"))
-        .select(key, "no", F.expr(f"substring(_t, no * {chunk} + 1, {chunk})").alias("_t"))
-    )
-    states = arrow_map(pieces, parts, f"`{key}` {kind}, no int, part binary")
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        made = [(i, no, t[no * chunk : (no + 1) * chunk]) for i, t in enumerate(b.column(1).to_pylist()) for no in range(-(-len(t) // chunk))]
+        rows, no, text = zip(*made, strict=True)
+        return batch_of(**{key: b.column(0).take(pa.array(rows, pa.int64()))}, doc=b.column(2).take(pa.array(rows, pa.int64())), no=(list(no), pa.int32()), _t=(list(text), pa.string()))
+
+    # copies of a key are texts of their own; the chunks of one huge text are spread over the tasks
+    long_texts = df.where(F.length(text) > chunk).select(key, F.col(text).alias("_t"), F.xxhash64(text).alias("doc"))
+    pieces = arrow_map(long_texts.dropDuplicates([key, "doc"]), cut, f"`{key}` {kind}, doc bigint, no int, _t string").repartition("doc", "no")
+    states = arrow_map(pieces.select(key, "no", "_t", "doc"), parts, f"`{key}` {kind}, doc bigint, no int, part binary")
 
     def fold(pdf: pd.DataFrame) -> tuple:
         whole = None
@@ -239,12 +226,12 @@ def _counted(df: DataFrame, key: str, kind: str, text: str, chunk: int) -> DataF
             whole = p if whole is None else merge(whole, p)
         return whole
 
-    inner = (
-        states.withColumn("_g", (F.col("no") / FAN_IN).cast("int"))
-        .groupBy(key, "_g")
-        .applyInPandas(lambda pdf: pd.DataFrame({key: [pdf[key].iloc[0]], "no": [int(pdf["no"].min())], "part": [pickle.dumps(fold(pdf))]}), f"`{key}` {kind}, no int, part binary")
-    )
-    long = inner.groupBy(key).applyInPandas(lambda pdf: pd.DataFrame([[pdf[key].iloc[0], *map(int, closed(fold(pdf)))]], columns=[key, *FIELDS]), schema)
+    def folded(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "doc": [pdf["doc"].iloc[0]], "no": [int(pdf["no"].min()) // FAN_IN], "part": [pickle.dumps(fold(pdf))]})
+
+    for _ in range(LEVELS - 1):
+        states = states.groupBy(key, "doc", F.floor(F.col("no") / FAN_IN).alias("_g")).applyInPandas(folded, f"`{key}` {kind}, doc bigint, no int, part binary")
+    long = states.groupBy(key, "doc").applyInPandas(lambda pdf: pd.DataFrame([[pdf[key].iloc[0], *map(int, closed(fold(pdf)))]], columns=[key, *FIELDS]), schema)
     return short.unionByName(long)
 
 
@@ -259,6 +246,18 @@ def junk_rule(c):
     )
 
 
+def junk_texts(texts: list[str]) -> list[bool]:
+    """junk_rule of whole texts: words and lines are counted only where characters alone don't decide."""
+    n = np.array(char_counts(texts), dtype=np.int64).reshape(len(texts), len(COUNTS))
+    c = {name: n[:, i] for i, name in enumerate(COUNTS)} | {f: np.zeros(len(texts), dtype=np.int64) for f in (*WORDS, *LINES)}
+    by_words = (c["symbols"] > 0) & (c["latin"] > 0.4 * c["visible"])
+    by_lines = c["letters"] + c["digits"] < 0.3 * c["visible"]
+    for i in np.flatnonzero(by_words | by_lines).tolist():
+        for name, value in zip(FIELDS, text_counts(texts[i], max(1, len(texts[i]))), strict=True):
+            c[name][i] = value
+    return junk_rule(c.__getitem__).tolist()
+
+
 def text_statistics(df: DataFrame, key: str, text: str, chunk: int = CHUNK) -> DataFrame:
     """One row for every distinct key: counts, ratios and `form` (prose, list, table, junk, or null for a blank text).
 

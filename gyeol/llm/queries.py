@@ -34,7 +34,8 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _passages_and_chunks(spark, sf_dir, "raw").where(F.length("text") > splitting.LIMIT)
     pieces = splitting.split_items(items, "text", ["src", "item_id"], only_long=True)
-    return pieces.groupBy("src", "item_id").agg(F.when(F.max("forced"), "forced").otherwise("boundary").alias("cut"))
+    longest = splitting.longest_runs(pieces, ["src", "item_id"])
+    return longest.select("src", "item_id", F.when(F.col("longest_run") > splitting.LIMIT, "forced").otherwise("boundary").alias("cut"))
 
 
 #: White space and end marks as problem 1 counts them.
@@ -125,6 +126,17 @@ def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.consistent_form(table(spark, sf_dir, "passages"), "raw", ["id"])
 
 
+@query
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every passage and page with something to see: the smallest id of those that look like it, how many
+    stored forms the class has, and its links: ids of the class that are stored in other characters."""
+    forms = _forms(spark, sf_dir)
+    stored = forms.groupBy("src", "form", "stored").agg(F.count_distinct("id").alias("same"), F.min("id").alias("least"))
+    classes = stored.groupBy("src", "form").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("variants"), F.sum("same").alias("members"))
+    rows = forms.join(stored.drop("least"), ["src", "form", "stored"]).join(classes, ["src", "form"])
+    return rows.select("src", "id", "class_id", "variants", (F.col("members") - F.col("same")).alias("links"))
+
+
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of ids whose texts share a form but not the stored characters.

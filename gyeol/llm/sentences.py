@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyeol.llm.quality import COUNTS, char_counts, fragment, junk_rule, line_counts, word_counts
+from gyeol.llm.quality import junk_texts, line_counts
 from gyeol.llm.textio import arrow_map, batch_of
 from gyeol.llm.visual import LOOK_ALIKE
 
@@ -211,7 +210,7 @@ def text_sentences(text: str) -> list[int]:
     out, base = [], 0
     for line in flat.split("\n"):
         if line.strip():
-            n = line_counts(fragment(line))
+            n = line_counts(line)
             if not n[2] and not n[3]:
                 pairs = spans(line)
                 a = 0
@@ -239,14 +238,7 @@ def sentences(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(len(keys)).to_pylist()
-        counts = np.array(char_counts(texts))
-        # word counts matter to the junk rule only where symbols are many
-        words = np.zeros((len(texts), 5), dtype=np.int64)
-        for i in np.flatnonzero(counts[:, COUNTS.index("symbols")] * 14 > counts[:, COUNTS.index("visible")]).tolist():
-            words[i] = word_counts(texts[i].split())
-        tables = np.array(["\t" in t or "  " in t or "|" in t for t in texts])
-        column = {**{n: counts[:, i] for i, n in enumerate(COUNTS)}, "words": words[:, 0], "single_letter_words": words[:, 3], "noisy_words": words[:, 4], "table_lines": tables.astype(int)}
-        junk = junk_rule(column.__getitem__)
+        junk = junk_texts(texts)
         rows, number, begin, end, piece = [], [], [], [], []
         for i, t in enumerate(texts):
             if junk[i]:

@@ -37,12 +37,19 @@ def boundaries(text: str) -> tuple[list[int], np.ndarray]:
     return at, np.array(strength, dtype=np.int8)
 
 
-def longest_run(text: str) -> int:
-    """Code points of the longest stretch without white space and without an end mark."""
-    longest = last = 0
+def runs(text: str) -> tuple[int, int, int]:
+    """Code points before the first white space or end mark, after the last one, and of the longest stretch between two.
+
+    A text without any is one stretch: it counts as its beginning, and its end is -1.
+    """
+    longest, first, last = 0, -1, 0
     for m in _RUN_BREAK.finditer(text):
-        longest, last = max(longest, m.start() - last), m.end()
-    return max(longest, len(text) - last)
+        if first < 0:
+            first = m.start()
+        else:
+            longest = max(longest, m.start() - last)
+        last = m.end()
+    return (len(text), -1, 0) if first < 0 else (first, len(text) - last, longest)
 
 
 def split_spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
@@ -90,31 +97,45 @@ def split_spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[t
 
 
 def split_items(df: DataFrame, text: str, keys: list[str], limit: int = LIMIT, overlap: int = OVERLAP, only_long: bool = False) -> DataFrame:
-    """keys, piece_no, start_pos, core_pos, end_pos, forced (the item has a run longer than the limit), piece.
+    """keys, piece_no, start_pos, core_pos, end_pos, forced (the cut before it has no boundary), head_run, tail_run,
+    inner_run (stretches of its core, by `runs`), piece.
 
     Null texts give no row, an empty text one empty piece, repeated rows repeated pieces. Texts within the limit
-    never leave the JVM. keys are columns of df whose names must not be those of the result.
+    never leave the JVM and have no stretches. keys are columns of df whose names must not be those of the result.
     """
     df = df.select(*keys, F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "piece_no int, start_pos int, core_pos int, end_pos int, forced boolean, piece string"])
+    numbers = ["piece_no", "start_pos", "core_pos", "end_pos", "head_run", "tail_run", "inner_run"]
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{n} int" for n in numbers), "forced boolean, piece string"])
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, number, start, core, end, forced, piece = [], [], [], [], [], [], []
+        rows, columns, forced, piece = [], [], [], []
         for i, t in enumerate(batch.column(len(keys)).to_pylist()):
-            f = longest_run(t) > limit
-            for n, (a, b, e, _) in enumerate(split_spans(t, limit, overlap)):
-                rows.append(i), number.append(n), start.append(a), core.append(b), end.append(e), forced.append(f), piece.append(t[a:e])
+            for n, (a, b, e, kind) in enumerate(split_spans(t, limit, overlap)):
+                rows.append(i), columns.append((n, a, b, e, *runs(t[b:e]))), forced.append(kind == 0), piece.append(t[a:e])
         take = pa.array(rows, pa.int64())
-        return batch_of(
-            **{k: batch.column(j).take(take) for j, k in enumerate(keys)}, piece_no=(number, pa.int32()), start_pos=(start, pa.int32()), core_pos=(core, pa.int32()), end_pos=(end, pa.int32()),
-            forced=(forced, pa.bool_()), piece=(piece, pa.string()),
-        )
+        by = list(zip(*columns, strict=True)) or [()] * len(numbers)
+        return batch_of(**{k: batch.column(j).take(take) for j, k in enumerate(keys)}, **{n: (list(c), pa.int32()) for n, c in zip(numbers, by, strict=True)}, forced=(forced, pa.bool_()), piece=(piece, pa.string()))
 
     long = arrow_map(df.where(F.length("_text") > limit), cut, schema)
     if only_long:
         return long
+    no = F.lit(None).cast("int")
     short = df.where(F.length("_text") <= limit).select(
-        *keys, F.lit(0).alias("piece_no"), F.lit(0).alias("start_pos"), F.lit(0).alias("core_pos"), F.length("_text").alias("end_pos"), F.lit(False).alias("forced"), F.col("_text").alias("piece")
-    )
+        *keys, F.lit(0).alias("piece_no"), F.lit(0).alias("start_pos"), F.lit(0).alias("core_pos"), F.length("_text").alias("end_pos"),
+        no.alias("head_run"), no.alias("tail_run"), no.alias("inner_run"), F.lit(False).alias("forced"), F.col("_text").alias("piece"),
+    )
     return short.unionByName(long)
+
+
+def longest_runs(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and longest_run: the longest stretch of each item without a way to cut, put together from its pieces.
+
+    Copies of an item give the same pieces again, which count once.
+    """
+    state = "named_struct('open', 0, 'longest', 0)"
+    add = """(s, p) -> named_struct(
+        'open', IF(p.tail_run < 0, s.open + p.head_run, p.tail_run),
+        'longest', greatest(s.longest, s.open + p.head_run, p.inner_run, p.tail_run))"""
+    of = pieces.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("piece_no", "head_run", "tail_run", "inner_run"))).alias("_p"))
+    return of.select(*keys, F.expr(f"aggregate(_p, {state}, {add}).longest").alias("longest_run"))

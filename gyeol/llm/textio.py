@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,18 +26,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set (tests, local runs)."""
+    """The shared folder of the cluster. Only where none is set and all runs on one machine (tests), a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file:///tmp/gyeol-checkpoints-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+#: The intermediate tables of this process stand in a folder of their own, which goes when the process ends.
+_OURS = f"gyeol-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this process; results that were not yet read can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{_OURS}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):
+            clear(spark)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: lineage is cut and the copy survives lost executors."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/gyeol-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{_OURS}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

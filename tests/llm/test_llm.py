@@ -2,6 +2,8 @@
 
 import unicodedata
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -38,13 +40,26 @@ def test_pieces_lose_nothing(text, limit, data):
     assert all(e - a <= limit and b - a <= overlap for a, b, e, _ in spans)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="가나,. \n", max_size=200), st.integers(3, 30))
+def test_stretches_of_pieces(text, limit):
+    open_, longest = 0, 0
+    for _, b, e, _ in splitting.split_spans(text, limit, 2):
+        head, tail, inner = splitting.runs(text[b:e])
+        longest = max(longest, open_ + head, inner, tail)
+        open_ = open_ + head if tail < 0 else tail
+    assert longest == max(map(len, re.split(r"[\s.!?。！？]", text)))
+
+
 def test_split_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "가" * 2000, "x"), (4, "가나. " * 400, "x"), (4, "가나. " * 400, "x"), (None, "짧다", "x")], "id int, text string, piece string")
     out = splitting.split_items(df, "text", ["id"])
     rows = out.collect()
     assert {r.id for r in rows} == {None, 2, 3, 4}
     assert all(len(r.piece) <= 640 for r in rows)
-    assert {r.id: r.forced for r in rows} == {None: False, 2: False, 3: True, 4: False}
+    assert {r.id for r in rows if r.forced} == {3}
+    longest = {r.id: r.longest_run for r in splitting.longest_runs(splitting.split_items(df, "text", ["id"], only_long=True), ["id"]).collect()}
+    assert longest == {3: 2000, 4: 2}
     assert splitting.split_items(df.limit(0), "text", ["id"]).count() == 0
 
 
@@ -52,8 +67,23 @@ def test_split_edges(spark):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="가나 .\n\t|,1a-·", max_size=120), st.integers(1, 9))
 def test_counts_do_not_depend_on_chunks(text, chunk):
-    if len(text) < 2 * quality.EDGE:
-        assert quality.text_counts(text, chunk) == quality.text_counts(text, 10_000)
+    assert quality.text_counts(text, chunk) == quality.text_counts(text, 10_000)
+
+
+def test_counts_of_long_lines_do_not_depend_on_chunks():
+    lines = ["한 지은이, " + "긴 제목 " * 90 + "연구, 1999", "(1999), " + "가 " * 200 + ", 나", "낱말 " * 300 + "끝났다.", "• " + "모음 " * 200, "가\t" * 150, "감상" * 200 + "    12, 31"]
+    text = "\n".join(lines)
+    whole = quality.text_counts(text, 1 << 20)
+    assert all(quality.text_counts(text, chunk) == whole for chunk in (7, 64, 161, 320, 1000))
+    assert whole[quality.FIELDS.index("list_lines")] >= 3
+
+
+def test_counts_of_a_huge_text(spark):
+    text = "모음은 소리이다. 자음도 소리이다.\n" * 5000
+    df = spark.createDataFrame([(1, text), (1, text), (2, text + "끝")], "id int, text string")
+    rows = {r.id: r.asDict() for r in quality.text_statistics(df, "id", "text", chunk=700).collect()}
+    want = dict(zip(quality.FIELDS, quality.text_counts(text, 1 << 30), strict=True))
+    assert {k: rows[1][k] for k in want} == want and rows[2]["chars"] == len(text) + 1
 
 
 def test_forms(spark):
@@ -211,6 +241,17 @@ def test_recall_holds_where_buckets_are_split(spark, monkeypatch):
     assert sum(len(got[i] & set(want[i].tolist())) for i in range(600)) >= 0.9 * 5 * 600
 
 
+def test_classes(spark, small):
+    rows = {(r.src, r.id): r for r in queries.p7_classes(spark, small).collect()}
+    pairs = queries.p7_found(spark, small).collect()
+    links = {}
+    for r in pairs:
+        for i in (r.id_a, r.id_b):
+            links[r.src, i] = links.get((r.src, i), 0) + 1
+        assert rows[r.src, r.id_a].class_id == rows[r.src, r.id_b].class_id
+    assert {k: r.links for k, r in rows.items() if r.links} == links
+
+
 # --- 7 look-alikes ----------------------------------------------------------------------------------------------
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="가각ᄀ́a̧é漢Ａ　 \n​рм①", max_size=30), max_size=5))
