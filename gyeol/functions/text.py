@@ -77,20 +77,53 @@ def declarative(c: Column) -> Column:
     return c.rlike("[다요][.!?。][”’']?$")
 
 
+def _without(alphabet: str, out: str) -> str:
+    """A character class of a range of Hangul without some of its syllables, in a form that every engine reads."""
+    first, last = map(ord, alphabet)
+    stops = sorted(map(ord, out))
+    pieces = [(a, b) for a, b in zip([first, *(x + 1 for x in stops)], [*(x - 1 for x in stops), last], strict=True) if a <= b]
+    return "[" + "".join(chr(a) + (f"-{chr(b)}" if b > a else "") for a, b in pieces) + "]"
+
+
+#: Shapes that damaged scans leave. The first are looked for in compact text: symbols and digits among
+#: syllables, a syllable inside a Latin gloss, a colon or carets in place of a stroke; then characters of no Korean
+#: text; then a syllable that is no particle between two Latin words, or a Latin word between two, in spaced text.
+_SYLLABLE = _without("가힣", "의은는이가을를과와도에로나만및즉등")
+_GLOSSED = _without("가힣", "형류군급계열")
+NOISE_SHAPES = (
+    rf"[가-힣][A-Za-z%&@]{{1,3}}[가-힣]|[가-힣][0-9][}}\-]|[가-힣][0-9]{{3,}}|[가-힣][λ}}]|[0-9]π|[a-zA-Z]\)'|[-~]{{4,}}"
+    rf"|\((?:[a-hjkm-z]|[a-z]{{2,3}}){_GLOSSED}|[a-z]:[a-z0-9]|[~^]{{2,}}"
+)
+NOISE_FOREIGN = r"[À-ɏͰ-ϿЀ-ӿ￠-￦¢©«®»™\\]"
+NOISE_STRANDED = rf"[A-Za-z]{{2,}}[ \t]+(?:[가-힣]{{2}}|{_SYLLABLE})[ \t]+[A-Za-z]{{2,}}|(?<![가-힣]){_SYLLABLE}[ \t]+[A-Za-z]{{3,}}[ \t]+{_SYLLABLE}(?![가-힣])"
+NOISE_OPENING = "^[;:，]"
+
+
 def noise_count(c: Column) -> Column:
     """Shapes that damaged scans leave in a text."""
-    k = F.regexp_replace(c, WS, "")
-    shapes = r"[가-힣][A-Za-z%&@]{1,3}[가-힣]|[가-힣][0-9][}\-]|[가-힣][0-9]{3,}|[가-힣][λ}]|[0-9]π|[-~]{4,}|[~^]{2,}"
-    return count_of(k, shapes) + count_of(k, r"[À-ɏͰ-ϿЀ-ӿ￠-￦¢©«®»™\\]") + k.rlike("^[;:，]").cast("int")
+    k = F.lower(F.regexp_replace(c, WS, ""))
+    return count_of(k, NOISE_SHAPES) + count_of(k, NOISE_FOREIGN) + count_of(c, NOISE_STRANDED) + k.rlike(NOISE_OPENING).cast("int")
+
+
+#: What a number counts, and what follows a character of a printed gloss.
+_COUNTED = (
+    "(?:부터|까지|내지|또는|및|이상|이하|미만|이내|년대|세기|번째|차시|개국|년|월|일|시|분|초|개|명|사람|권|쪽|면|장|절|항|조|편|부|차|회|번|등급|단계|가지|종류|음절|음보|자|글자|행|연|대|세|학년|학기|인칭|모음|자음|품사|퍼센트|배|점|마리|곳|줄|칸|단원|과|원)"
+    "(?:이|가|은|는|을|를|의|에|에서|과|와|도|만|로|으로|부터|까지|씩|째|간|쯤|이나|나|이다|이며|이고|처럼|같이|만큼|에서는|에는|으로는|로는|에서도|에도|이라는|라는|이란)?"
+)
+_GLOSS_TAIL = "(?:의|이|가|을|를|은|는|에|와|과|도|만|로|으|라|하|한|들|인|시|형|적|론|설|편|권|장|절|기|서|부|년|대|체|류|어|음|자|문|학|법|성|화|식|제)"
 
 
 def damage_kinds(c: Column) -> Column:
-    """Which kinds of damage show: letter, symbol, unspaced."""
-    plain = F.regexp_replace(c, r"\([^)]*[A-Za-z]{2,}[^)]*\)", "")
+    """Which kinds of damage show, in this order: letter (a lone capital outside quotes and glosses), digit (a number
+    between words that counts nothing), symbol, unspaced (18 syllables in a row), hanja (a syllable inside a gloss)."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"\([^)]*[A-Za-z]{2,}[^)]*\)", ""), r"[‘'\"“]\s*[A-Za-z]\s*[’'\"”]", "")
+    numbers = F.regexp_extract_all(plain, F.lit(r"[가-힣]\s\d{1,2}\s([가-힣]+)"), F.lit(1))
     kinds = F.array(
-        F.when(plain.rlike(r"(^|[^A-Za-z\-/])[A-Z]($|[^A-Za-z])"), "letter"),
-        F.when(c.rlike("[가-힣][%&@|][가-힣]"), "symbol"),
+        F.when(plain.rlike(r"(?<![A-Za-z\-/])[A-Z](?![A-Za-z])"), "letter"),
+        F.when(F.exists(numbers, lambda w: ~w.rlike(f"^{_COUNTED}$")), "digit"),
+        F.when((c.rlike("^[%$#@&*|]") & ~c.rlike(r"^[@*%·•]\s")) | c.rlike("[가-힣][%&@|][가-힣]"), "symbol"),
         F.when(c.rlike("[가-힣]{18,}"), "unspaced"),
+        F.when(c.rlike(f"[一-鿿](?!{_GLOSS_TAIL}(?![가-힣]))[가-힣]"), "hanja"),
     )
     return F.array_compact(kinds)
 

@@ -1,26 +1,48 @@
-"""Reading text: source breaks laid over display spacing, tables worth showing, chunks of clean sentences."""
+"""Reading text: source breaks laid over display spacing, repaired display, tables worth showing, runs and windows of
+clean sentences."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Target, limit and least size of a chunk, sentences in it, and the longest sentence.
-TARGET, LIMIT, LEAST, MOST_SENTENCES, LONGEST = 320, 640, 40, 6, 600
-_SENTENCE = re.compile(r"[다요까][.!?。][”’']?(?=\s|$)")
-_NOISE = re.compile(r"[가-힣][A-Za-z%&@]{1,3}[가-힣]|[가-힣][0-9][}\-]|[가-힣][0-9]{3,}|[가-힣][λ}]|[0-9]π|[-~]{4,}|[~^]{2,}|[À-ɏͰ-ϿЀ-ӿ￠-￦¢©«®»™\\]")
+from gyeol.functions import display as shown
+from gyeol.functions import text as columns
+from gyeol.operators.lexicon import words
 
+#: Target, limit and least size of a chunk; sentences in a run, the longest sentence and run, the least run.
+TARGET, LIMIT, LEAST_CHUNK = 320, 640, 40
+MOST_SENTENCES, LONGEST_SENTENCE, LONGEST_RUN, LEAST_RUN = 6, 600, 900, 65
+_SHAPES, _FOREIGN, _STRANDED = (re.compile(p) for p in (columns.NOISE_SHAPES, columns.NOISE_FOREIGN, columns.NOISE_STRANDED))
+#: How an excerpt ends well, and how it begins in the middle of something.
+_ENDS_WELL = re.compile(r"[다요][.!?。][”’'\"]?$")
+_BEGINS_BADLY = re.compile(r"^[;:，\W]|^(?:다[.!]|고만|으로\s)")
 
+Groups = Sequence[Sequence[str]]
+
+
+def compact(text: str) -> str:
+    return "".join(text.split()).lower()
+
+
+def noise(text: str) -> int:
+    """Shapes that damaged scans leave in a text; the same count as that of the column expression."""
+    k = compact(text)
+    return len(_SHAPES.findall(k)) + len(_FOREIGN.findall(k)) + len(_STRANDED.findall(text)) + (k[:1] in (";", ":", "，") and k != "")
+
+
+# --- spacing -------------------------------------------------------------------------------------------------------
 def aligned_text(raw: str | None, display: str | None) -> str | None:
     """Display spacing with the source's line and cell breaks; raw where the characters differ; null for null."""
     if raw is None or display is None:
         return raw
-    if "".join(raw.split()).lower() != "".join(display.split()).lower():
+    if compact(raw) != compact(display):
         return raw
     gaps = re.findall(r"(\s*)\S", raw)
     out: list[str] = []
@@ -36,9 +58,42 @@ def aligned(raw: pd.Series, display: pd.Series) -> pd.Series:
     return pd.Series([aligned_text(a, b) for a, b in zip(raw, display, strict=True)], dtype=object)
 
 
+def displayed(df: DataFrame, key: str, raw: str, display: str, lists: shown.Lists) -> DataFrame:
+    """key, shown, repairs: what the screen shows of each row. Null raw or display leave the display as it is."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [shown.shown_text(a, b, lists) for a, b in zip(pdf["_raw"], pdf["_display"], strict=True)]
+            yield pd.DataFrame({key: pdf[key], "shown": [r[0] for r in rows], "repairs": [r[1] for r in rows]})
+
+    return df.select(key, F.col(raw).alias("_raw"), F.col(display).alias("_display")).mapInPandas(run, f"`{key}` {kind}, shown string, repairs int")
+
+
+def headings(df: DataFrame, key: str, raw: str, display: str) -> DataFrame:
+    """key, heading: first lines that stand as a heading before the paragraph of a row."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(k, shown.split_heading(a, b)[0]) for k, a, b in zip(pdf[key], pdf["_raw"], pdf["_display"], strict=True)]
+            yield pd.DataFrame([r for r in rows if r[1]], columns=[key, "heading"])
+
+    # only texts of several lines can have one: the others stay in the JVM
+    rows = df.where(F.contains(raw, F.lit("\n")) & F.col(display).isNotNull()).select(key, F.col(raw).alias("_raw"), F.col(display).alias("_display"))
+    return rows.mapInPandas(run, f"`{key}` {kind}, heading string")
+
+
+# --- tables --------------------------------------------------------------------------------------------------------
+def table_rows(text: Column) -> Column:
+    """Rows of cells of tab-separated lines, bullets and blank cells left out."""
+    cells = lambda r: F.filter(F.transform(F.split(r, "\t"), lambda c: F.trim(F.regexp_replace(c, r"^[•·]\s*", ""))), lambda c: c != "")
+    return F.filter(F.transform(F.split(text, "\n"), cells), lambda r: F.size(r) > 0)
+
+
 def readable_table(text: Column) -> Column:
-    """Whether rows of tab-separated cells are worth showing: enough Hangul, few numbers, few lone syllables, few torn rows."""
-    rows = F.filter(F.transform(F.split(text, "\n"), lambda r: F.filter(F.transform(F.split(r, "\t"), lambda c: F.trim(F.regexp_replace(c, r"^[•·]\s*", ""))), lambda c: c != "")), lambda r: F.size(r) > 0)
+    """Whether rows of tab-separated cells look worth showing: enough Hangul, few numbers, few lone syllables, few torn rows."""
+    rows = table_rows(text)
     cells = F.flatten(rows)
     body = F.regexp_replace(F.array_join(cells, ""), r"\s", "")
     hangul = F.regexp_count(body, F.lit("[가-힣]"))
@@ -52,44 +107,148 @@ def readable_table(text: Column) -> Column:
     return F.when(F.size(cells) > 0, good).otherwise(F.lit(False))
 
 
-def chunks_of(text: str, target: int = TARGET, limit: int = LIMIT) -> list[str]:
-    """Runs of clean neighbouring sentences near the target, cut left to right; a sentence stands in one chunk at most.
+def readable_tables(df: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
+    """key, readable: tables that look worth showing and whose words the books repeat (known: word).
 
-    Damaged and overlong sentences, and what follows the last sentence end, are left out and part the runs.
+    A word of seven syllables that no book repeats is a run the scan didn't part; of eight words or more at most a
+    quarter may be unknown. Without a vocabulary nothing is unknown.
     """
-    runs: list[list[str]] = [[]]
-    last = 0
-    for m in _SENTENCE.finditer(text):
-        s = text[last : m.end()].strip()
-        last = m.end()
-        if _NOISE.search("".join(s.split())) or len(s) > LONGEST:
-            runs.append([])
-        else:
-            runs[-1].append(s)
+    rows = df.select(key, text).distinct()
+    vocabulary = known.select("word").distinct()
+    if not vocabulary.take(1):
+        return rows.select(key, F.coalesce(readable_table(F.col(text)), F.lit(False)).alias("readable"))
+    found = words(rows, text, key).join(vocabulary.withColumn("known", F.lit(True)), "word", "left")
+    unknown = F.col("known").isNull()
+    judged = found.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(unknown).alias("strange"), F.count_if(unknown & (F.length("word") >= 7)).alias("unparted"))
+    bad = (F.col("unparted") > 0) | ((F.col("n") >= 8) & (F.col("strange") > 0.25 * F.col("n")))
+    return rows.join(judged, key, "left").select(key, (F.coalesce(readable_table(F.col(text)), F.lit(False)) & ~F.coalesce(bad, F.lit(False))).alias("readable"))
+
+
+# --- sentences -----------------------------------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Run:
+    """Neighbouring clean sentences: the first and last of them, the part of the source, and the text shown."""
+
+    first: int
+    last: int
+    excerpt: str
+    text: str
+
+
+def _spans(display: str, closing: bool) -> list[tuple[int, int, bool]]:
+    """(start, end, complete) of the sentences; what follows the last end is complete only if asked for and it closes on 다."""
+    ends = [m.end() for m in shown.SENTENCE_END.finditer(display)]
+    out = [(a, b, True) for a, b in zip([0, *ends], ends, strict=False)]
+    start = ends[-1] if ends else 0
+    if start < len(display):
+        out.append((start, len(display), closing and re.search(r"[가-힣]다\s*$", display[start:]) is not None))
+    return out
+
+
+def sentence_runs(raw: str, display: str, least: int = LEAST_RUN, closing: bool = False) -> list[Run] | None:
+    """Every run of up to six clean sentences; None where the display can't be laid over the source."""
+    text = shown.restore_terms(display)
+    spans = _spans(text, closing)
+    if not spans:
+        return []
+    places = [i for i, c in enumerate(raw) if not c.isspace()]
+    before = [0]
+    for c in text:
+        before.append(before[-1] + (not c.isspace()))
+    if before[-1] != len(places):
+        return None
+    clean = [not noise(text[a:b]) and b - a <= LONGEST_SENTENCE for a, b, _ in spans]
     out = []
-    for run in runs:
-        pieces: list[list[str]] = []
-        for s in run:
-            now = pieces[-1] if pieces else None
-            size = sum(map(len, now)) + len(now) if now else 0
-            if now and size < target and size + len(s) <= limit and len(now) < MOST_SENTENCES:
-                now.append(s)
-            else:
-                pieces.append([s])
-        if len(pieces) > 1 and len("".join("".join(pieces[-1]).split())) < LEAST and sum(map(len, pieces[-2])) + len(pieces[-2]) + sum(map(len, pieces[-1])) <= limit:
-            tail = pieces.pop()
-            pieces[-1] += tail
-        out += [" ".join(p) for p in pieces]
-    return [c for c in out if len("".join(c.split())) >= LEAST]
-
-
-def sentence_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, chunk_no, chunk, digest: chunks for dense retrieval of every non-null text."""
+    for i, (start, _, _) in enumerate(spans):
+        for j in range(i, min(i + MOST_SENTENCES, len(spans))):
+            end = spans[j][1]
+            piece = text[start:end].strip()
+            if not clean[j] or not spans[j][2] or len(piece) > LONGEST_RUN:
+                break
+            if len(compact(piece)) >= least and before[end] > before[start]:
+                out.append(Run(i, j, raw[places[before[start]] : places[before[end] - 1] + 1], piece))
+    return out
+
+
+def windows(raw: str, display: str) -> list[tuple[str, str]]:
+    runs = sentence_runs(raw, display)
+    return [(raw, display)] if runs is None else [(r.excerpt, r.text) for r in runs]
+
+
+def clean_blocks(raw: str, display: str) -> list[str]:
+    """The longest windows that don't overlap, in the order of the source."""
+    taken: list[tuple[int, int, str]] = []
+    for excerpt, text in sorted(windows(raw, display), key=lambda w: -len(w[0])):
+        a = raw.find(excerpt)
+        if all(a >= y or a + len(excerpt) <= x for x, y, _ in taken):
+            taken.append((a, a + len(excerpt), text))
+    return [t for _, _, t in sorted(taken)]
+
+
+def chunks_of(raw: str, display: str, target: int = TARGET, limit: int = LIMIT, least: int = LEAST_CHUNK) -> list[tuple[str, str]]:
+    """(excerpt, text) of runs for dense retrieval, cut left to right near the target; a sentence stands in one at most."""
+    runs = sentence_runs(raw, display, least, closing=True)
+    if runs is None:
+        text = shown.restore_terms(display)
+        return [(raw, text)] if not noise(text) and least <= len(compact(text)) and len(text) <= limit else []
+    by_first: dict[int, list[Run]] = {}
+    for r in runs:
+        by_first.setdefault(r.first, []).append(r)
+    out, after = [], 0
+    for i, here in sorted(by_first.items()):
+        if i < after:
+            continue
+        fitting = [r for r in here if len(r.text) <= limit] or here[:1]
+        pick = next((r for r in fitting if len(r.text) >= target), fitting[-1])
+        if not any(j > pick.last for j in by_first):  # a short rest joins this one
+            pick = fitting[-1]
+        out.append((pick.excerpt, pick.text))
+        after = pick.last + 1
+    return out
+
+
+def best_window(raw: str | None, display: str | None, groups: Groups) -> tuple[str, str] | None:
+    """(excerpt, text) of the window that develops the groups best, the first among equals; None if none has them all."""
+    if raw is None or display is None:
+        return None
+
+    def worth(text: str) -> float | None:
+        k = compact(text)
+        counts = [sum(k.count(t) for t in g) for g in groups]
+        if not all(counts):
+            return None
+        first = compact(re.split(shown.SENTENCE_END, text, maxsplit=1)[0])
+        good = 4 * bool(_ENDS_WELL.search(text)) + 4 * (not _BEGINS_BADLY.match(text)) + 3 * any(t in first for g in groups for t in g)
+        return 4 * sum(min(3, n) for n in counts) + good + min(len(text), 700) / 140 - max(0, len(text) - 700) / 150
+
+    scored = [(worth(w[1]), w) for w in windows(raw, display)]
+    return max(((s, w) for s, w in scored if s is not None), key=lambda x: x[0], default=(0, None))[1]
+
+
+def _per_row(fn: Callable[[str, str], list[tuple[str, str]]], df: DataFrame, key: str, raw: str, display: str) -> DataFrame:
+    """key, no, excerpt, text of what fn makes of each row with both texts."""
+    kind = df.schema[key].dataType.simpleString()
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(k, i, c) for k, t in zip(pdf[key], pdf[text], strict=True) for i, c in enumerate(chunks_of(t))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_no", "chunk"])
+            rows = [(k, i, *x) for k, a, b in zip(pdf[key], pdf["_raw"], pdf["_display"], strict=True) for i, x in enumerate(fn(a, b))]
+            yield pd.DataFrame(rows, columns=[key, "no", "excerpt", "text"])
 
-    kind = df.schema[key].dataType.simpleString()
-    cut = df.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"`{key}` {kind}, chunk_no int, chunk string")
-    return cut.withColumn("digest", F.sha2("chunk", 256))
+    rows = df.where(F.col(raw).isNotNull() & F.col(display).isNotNull()).select(key, F.col(raw).alias("_raw"), F.col(display).alias("_display"))
+    return rows.mapInPandas(run, f"`{key}` {kind}, no int, excerpt string, text string")
+
+
+def sentence_chunks(df: DataFrame, key: str, raw: str, display: str) -> DataFrame:
+    """key, chunk_no, excerpt, chunk, digest: chunks for dense retrieval; rows without a text give none, copies give copies."""
+    return _per_row(chunks_of, df, key, raw, display).select(key, F.col("no").alias("chunk_no"), "excerpt", F.col("text").alias("chunk"), F.sha2("text", 256).alias("digest"))
+
+
+def with_window(df: DataFrame, raw: str, display: str, groups: Groups) -> DataFrame:
+    """df with excerpt and window, its best window for the groups; rows without one are left out."""
+
+    @F.pandas_udf("excerpt string, window string")
+    def window(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = [best_window(x, y, groups) or (None, None) for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame(found, columns=["excerpt", "window"])
+
+    return df.withColumn("_w", window(raw, display)).select(*df.columns, "_w.excerpt", "_w.window").where(F.col("window").isNotNull())

@@ -59,18 +59,30 @@ def footer_number(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").where("text IS NOT NULL").select("id", text.footer_number(F.col("text")).alias("number"))
 
 
-_SHAPES = r"[가-힣][A-Za-z%&@]{1,3}[가-힣]|[가-힣][0-9][}\-]|[가-힣][0-9]{3,}|[가-힣][λ}]|[0-9]π|[-~]{4,}|[~^]{2,}"
+#: Written for an engine without look-around: the character before or after is matched instead.
+_LONE = text._SYLLABLE
+_NOISE = (
+    r"[가-힣][A-Za-z%&@]{1,3}[가-힣]|[가-힣][0-9][}\-]|[가-힣][0-9]{3,}|[가-힣][λ}]|[0-9]π|[a-zA-Z]\)''|[-~]{4,}"
+    rf"|\((?:[a-hjkm-z]|[a-z]{{2,3}}){text._GLOSSED}|[a-z]:[a-z0-9]|[~^]{{2,}}"
+)
+_BETWEEN = rf"[A-Za-z]{{2,}}[ \t]+(?:[가-힣]{{2}}|{_LONE})[ \t]+[A-Za-z]{{2,}}|(?:^|[^가-힣]){_LONE}[ \t]+[A-Za-z]{{3,}}[ \t]+{_LONE}(?:$|[^가-힣])"
 
 
-@query(rf"""WITH p AS (SELECT id, regexp_replace(display, '{r'[\s\p{Z}\x{85}\x0b\x1c-\x1f]+'}', '', 'g') AS k FROM passages WHERE display IS NOT NULL)
-SELECT id, {matches('k', _SHAPES)} + {matches('k', r'[À-ɏͰ-ϿЀ-ӿ￠-￦¢©«®»™\\]')} + CASE WHEN regexp_matches(k, '^[;:，]') THEN 1 ELSE 0 END AS noise FROM p""")
+@query(rf"""WITH p AS (SELECT id, display, {compact('display')} AS k FROM passages WHERE display IS NOT NULL)
+SELECT id, {matches('k', _NOISE)} + {matches('k', r'[À-ɏͰ-ϿЀ-ӿ￠-￦¢©«®»™\\]')} + {matches('display', _BETWEEN)} + CASE WHEN regexp_matches(k, '^[;:，]') THEN 1 ELSE 0 END AS noise FROM p""")
 def noise_count(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "passages").where("display IS NOT NULL").select("id", text.noise_count(F.col("display")).alias("noise"))
 
 
-@query(r"""WITH p AS (SELECT id, display, regexp_replace(display, '\([^)]*[A-Za-z]{2,}[^)]*\)', '', 'g') AS plain FROM passages WHERE display IS NOT NULL)
+_ALONE_TAIL = text._without("가힣", "의이가을를은는에와과도만로으라하한들인시형적론설편권장절기서부년대체류어음자문학법성화식제")
+
+
+@query(rf"""WITH p AS (SELECT id, display, regexp_replace(regexp_replace(display, '\([^)]*[A-Za-z]{{2,}}[^)]*\)', '', 'g'), '[‘''"“]\s*[A-Za-z]\s*[’''"”]', '', 'g') AS plain FROM passages WHERE display IS NOT NULL)
 SELECT id, concat_ws(',', CASE WHEN regexp_matches(plain, '(^|[^A-Za-z\-/])[A-Z]($|[^A-Za-z])') THEN 'letter' END,
-  CASE WHEN regexp_matches(display, '[가-힣][%&@|][가-힣]') THEN 'symbol' END, CASE WHEN regexp_matches(display, '[가-힣]{18,}') THEN 'unspaced' END) AS kinds FROM p""")
+  CASE WHEN len(list_filter(regexp_extract_all(plain, '[가-힣]\s\d{{1,2}}\s([가-힣]+)', 1), lambda w: NOT regexp_full_match(w, '{text._COUNTED}'))) > 0 THEN 'digit' END,
+  CASE WHEN (regexp_matches(display, '^[%$#@&*|]') AND NOT regexp_matches(display, '^[@*%·•]\s')) OR regexp_matches(display, '[가-힣][%&@|][가-힣]') THEN 'symbol' END,
+  CASE WHEN regexp_matches(display, '[가-힣]{{18,}}') THEN 'unspaced' END,
+  CASE WHEN regexp_matches(display, '[一-鿿](?:[가-힣]{{2}}|{_ALONE_TAIL})') THEN 'hanja' END) AS kinds FROM p""")
 def damage_kinds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "passages").where("display IS NOT NULL").select("id", F.concat_ws(",", text.damage_kinds(F.col("display"))).alias("kinds"))
 
