@@ -168,13 +168,12 @@ def scored(df: DataFrame, asked: Asked, w: Sequence[float | Column], tables: Col
     if not asked.catalogue:
         df = df.where(count_of(F.col("c"), CURRICULUM) < 2)
     score = lexical_score(F.col("c"), asked.groups, w)
-    for i, (operation, condition, value) in enumerate(steps(asked, tables)):
+    for operation, condition, value in steps(asked, tables):
         value = value if isinstance(value, Column) else F.lit(float(value))
-        step = score + value if operation == "+" else score * value
-        # a column for each step keeps the expression flat
-        df = df.withColumn(f"_s{i}", F.when(F.coalesce(condition, F.lit(False)), step).otherwise(score))
-        score = F.col(f"_s{i}")
-    return df.withColumn("score", score).drop(*(f"_s{j}" for j in range(i + 1)))
+        # the score stands once in each step, so that the expression grows with their number only
+        holds = F.coalesce(condition, F.lit(False))
+        score = score + F.when(holds, value).otherwise(0.0) if operation == "+" else score * F.when(holds, value).otherwise(1.0)
+    return df.withColumn("score", score)
 
 
 def candidates(scope: DataFrame, asked: Asked, text: str = "compact") -> DataFrame:
@@ -206,23 +205,24 @@ def first_per_page(df: DataFrame, score: str = "score") -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy("page_id").orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def diverse(df: DataFrame, limit: int, score: str = "score", by: str = "book_id") -> DataFrame:
-    """The best row of each book first, in order of score, then the rest, up to a limit; a rank for the result's order."""
+def diverse(df: DataFrame, limit: int, score: str = "score", by: str = "book_id", share: float | None = None) -> DataFrame:
+    """The best row of each book first, in order of score, then the rest, up to a limit; a rank for the result's order.
+
+    With a share, rows below that share of the best score are left out first.
+    """
     order = [F.desc(score), F.asc("page_id"), F.asc("id")]
     per_book = df.withColumn("_b", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_b") <= limit)
+    if share is not None:
+        # at most `limit` rows of each of the books, of which there are a fixed number, reach this window
+        per_book = per_book.withColumn("_best", F.max(score).over(Window.partitionBy(F.lit(0)))).where(F.col(score) >= F.col("_best") * share).drop("_best")
     chosen = per_book.orderBy((F.col("_b") > 1).asc(), *order).limit(limit).drop("_b")
     # limit rows at most reach this window
     return chosen.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def best_of(df: DataFrame, score: str = "score") -> Column:
-    return df.agg(F.max(score).alias("best")).scalar()
-
-
 def answers(scope: DataFrame, asked: Asked, limit: int = 8) -> DataFrame:
     """Ranked explanations by words alone: not far below the best, one a page, diverse across books."""
-    rows = explained(scope, asked)
-    return diverse(first_per_page(rows.where(F.col("score") >= best_of(rows) * LEXICAL_FLOOR)), limit)
+    return diverse(first_per_page(explained(scope, asked)), limit, share=LEXICAL_FLOOR)
 
 
 def penalty(asked: Asked) -> Column:
@@ -253,18 +253,20 @@ def hybrid(scope: DataFrame, asked: Asked, dense: DataFrame, limit: int = 8) ->
     per_passage = dense.groupBy("id").agg(F.max("cosine").alias("cosine"))
     words = lexical.join(per_passage, "id", "left")
     words = words.select("id", "page_id", "book_id", "ordinal", (100 * F.coalesce("cosine", F.lit(0.0)) + LEXICAL_WEIGHT * F.col("score")).alias("score"), F.lit("lexical").alias("match"))
-    found = words.agg(F.count(F.lit(1)).alias("found")).scalar() > 0
     near = dense.orderBy(F.desc("cosine"), "id", "chunk").limit(DENSE_CANDIDATES)
     best = near.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "chunk"))).where("_r = 1").drop("_r")
     rows = scope.join(F.broadcast(best), "id").join(F.broadcast(words.select("id")), "id", "left_anti")  # 60 and 40 rows at most
-    rows = rows.where(F.col("cosine") >= F.when(found, DENSE_FLOOR).otherwise(DENSE_FLOOR_ALONE))
+    rows = rows.where(F.col("cosine") >= DENSE_FLOOR)
     rows = rows.withColumn("c", compact(F.col("chunk"))).where(F.contains("raw", "excerpt") & (noise_count(F.col("chunk")) == 0))
     bullets = count_of(F.col("excerpt"), "[·•]")
     gates = book_admissible(F.col("title"), asked) & no_catalogue(F.col("c"), asked) & ~((bullets >= 8) & (count_of(F.col("excerpt"), "다[.!?。]") < bullets / 2))
-    meant = rows.where(gates).select("id", "page_id", "book_id", "ordinal", (100 * F.col("cosine") - penalty(asked)).alias("score"), F.lit("semantic").alias("match"))
-    both = words.unionByName(meant)
-    margin = F.when((F.col("match") == "semantic") & found, CORE_MARGIN).otherwise(WIDE_MARGIN)
-    return diverse(first_per_page(both.where(F.col("score") >= best_of(both) - margin)), limit)
+    meant = rows.where(gates).select("id", "page_id", "book_id", "ordinal", (100 * F.col("cosine") - penalty(asked)).alias("score"), F.lit("semantic").alias("match"), "cosine")
+    # 100 rows at most reach these windows
+    every, semantic = Window.partitionBy(F.lit(0)), F.col("match") == "semantic"
+    both = words.withColumn("cosine", F.lit(1.0)).unionByName(meant).withColumn("found", F.max(~semantic).over(every))
+    both = both.where(F.col("found") | (F.col("cosine") >= DENSE_FLOOR_ALONE)).withColumn("best", F.max("score").over(every))
+    both = both.where(F.col("score") >= F.col("best") - F.when(semantic & F.col("found"), CORE_MARGIN).otherwise(WIDE_MARGIN))
+    return diverse(first_per_page(both), limit).drop("found", "best", "cosine")
 
 
 def search(df: DataFrame, groups: Groups, limit: int = 8, text: str = "compact") -> DataFrame:

@@ -27,7 +27,7 @@ def _count(g) -> str:
     return " + ".join(f"(length(compact) - length(replace(compact, '{t}', ''))) // {len(t)}" for t in g)
 
 
-_SCOPE = """scope AS (SELECT p.*, b.book_id, b.title, b.category, g.pdf_page FROM passages p
+_SCOPE = """scope AS (SELECT p.*, b.book_id, b.title, b.category, g.pdf_page, g.quality FROM passages p
   JOIN (SELECT DISTINCT id AS page_id, book_id, pdf_page, printed_page, quality FROM pages) g USING (page_id)
   JOIN (SELECT id AS book_id, title, category FROM books WHERE category <> '참고자료') b USING (book_id))"""
 _WEIGHTS = "w AS (SELECT " + ", ".join(f"ln(2 + count(*) / (1.0 + count(*) FILTER (WHERE {_all([g])}))) AS w{i}" for i, g in enumerate(GROUPS)) + " FROM scope)"

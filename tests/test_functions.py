@@ -94,3 +94,44 @@ def test_copied_share(spark):
     source = spark.createDataFrame([("p", "앞가나다라마바사아자차카타파하거너더러머버뒤")], "page string, source string")
     got = {r.id: round(r.share, 3) for r in evaluate.copied_share(notes, source, "id", "page", "note", "source").collect()}
     assert got == {1: round(20 / 23, 3), 2: 0.0, 3: 0.0}
+
+
+#: Sentences and how plainly they define a term.
+LONGER = ["동격관형사절", "관계관형사절"]
+
+
+@pytest.mark.parametrize(("sentence", "key", "longer", "want"), [
+    ("절이 관형사화되어 관형어로서 쓰이게 되면 그 절을 관형사절이라고 부른다.", "관형사절", LONGER, 10),
+    ("관형사절은 용언 어간에 관형사형 어미가 붙어서 관형어로 쓰일 수 있는 절이다.", "관형사절", LONGER, 7),
+    ("일반적으로 관형사절은 동격 관형사절과 관계 관형사절로 분류된다.", "관형사절", LONGER, 5),
+    ("동격 관형사절이란 한 문장의 모든 필수 성분을 완전하게 갖추고 있는 관형사절이다.", "관형사절", LONGER, 2),
+    ("우리 책에서도 ‘넓은’을 관형사절로 다룬다.", "관형사절", LONGER, 1),
+    ("명사절은 명사화되어 명사가 쓰일 수 있는 자리에 오는 절이다.", "관형사절", LONGER, 0),
+    ("이 때 발생하는 것이 ‘대화 함축’이다.", "대화함축", (), 9),
+    ("대화 함축이란 협력하고 있다고 가정할 때 발생하는 숨겨진 의미이다(오주영，1997 ; 구현정，2001).", "대화함축", (), 10),
+    ("위의 네 가지 격률 가운데 첫 번째 양의 격률은 필요한 만큼만 정보를 제공하라는 것이다.", "양의격률", (), 7),
+    ("현시적 교수법은 명확한 행동적 목표를 기반으로 하는 교사 중심 지도법을 일 걷는다.", "현시적교수법", (), 9),
+    ("평서형， 의문형， 명령형， 청유형， 감탄형을 묶어서 ‘종결형’ 이라고 하며 나머지는 비종결형이라고 한다.", "종결형", (), 10),
+    ("가장 긴 드라마는 연속극이며， 가장 짧은 드라마는 단막극이다.", "드라마", (), 1),
+    ("심리학적 기능이란 시인과 독자 사이의 관계에 작용한다.", "심리학적기능", (), 5),
+    ("내리 쓰기 전략은 개요 짜기의 결과물을 보면서 하는 것이 일반적이다.", "내리쓰기전략", (), 5),
+    ("현대 국어에서 두음 법칙이라고 부르는 현상이 왜 발생했는지는 설명하기 어렵다.", "두음법칙", (), 1),
+    ("이것을 음소 분석이라고 부른다.", "분석", (), 1),
+    ("문장 자체의 변화를 통해 부각하는 표현을 강조의 방법이라 한다.", "방법", (), 1),
+    ("‘-가’， ‘-고’가 보조사라고 한다고 해서 문제가 해결되는 것은 아니다.", "보조사", (), 1),
+    ("그러므로 이는 ‘모절(안은절)’이라고 불러야 한다.", "모절", (), 1),
+    ("아리스토텔레스는 『시학』에서 예술가는 행동하는 인간을 모방한다고 말한다.", "아리스토텔레스", (), 5),
+    ("소설을 가르치는 과정에서는 이야기의 뜻을 찾아가는 작업이 이루어지기 때문이다.", "에서", (), 1),
+    ("이것을 음운이라고 하기도 한다.", "음운", (), 10), ("이에 비해 음운은 뜻을 구별하는 소리의 단위이다.", "음운", (), 7), (None, "음운", (), 0), ("", "", (), 0),
+])
+def test_definitions(sentence, key, longer, want):
+    assert terms.definition_score_of(sentence, key, longer) == want
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("'국물'이 [궁물]로 소리 난다.", [("국물", "궁물", ["비음화"])]), ("국물[궁물]과 솜이불[솜니불]", [("국물", "궁물", ["비음화"]), ("솜이불", "솜니불", ["ㄴ 첨가"])]),
+    ("'국물'을 '궁물'로 발음한다", [("국물", "궁물", ["비음화"])]), ("국물 → 궁물", [("국물", "궁물", ["비음화"])]), ("국물이 [궁물]로", [("국물", "궁물", ["비음화"])]), ("아무것도 없다", []), (None, []),
+])
+def test_pronunciations(spark, text, want):
+    rows = spark.createDataFrame([(1, text)], "id int, t string")
+    assert sorted((r.spelling, r.said, r.changes) for r in hangul.named_changes(rows, "t", "id").collect()) == sorted(want)
