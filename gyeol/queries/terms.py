@@ -85,10 +85,10 @@ def label_variants(spark: SparkSession, d: str) -> DataFrame:
 def best_definitions(spark: SparkSession, d: str) -> DataFrame:
     """The sentence of each book that defines a word of its topics most plainly."""
     pages = table(spark, d, "pages").select(F.col("id").alias("page_id"), "book_id", "pdf_page").distinct()
-    p = table(spark, d, "passages").where("display IS NOT NULL AND kind = 'body'").select("id", "page_id", "display").distinct()
+    p = table(spark, d, "passages").where("display IS NOT NULL").select("id", "page_id", "display").distinct()
     s = p.select("id", "page_id", F.posexplode(split_sentences(F.col("display"))).alias("at", "sentence"))
     words = s.withColumn("key", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit("([가-힣]{2,})(?:은|는|이란|란)"), F.lit(1)))))
-    scored = words.withColumn("score", terms.definition_score("sentence", "key")).join(pages, "page_id")
+    scored = words.withColumn("score", terms.definition_score("sentence", "key", F.array().cast("array<string>"))).join(pages, "page_id")
     best = terms.definitions(scored, ["book_id", "key"], "score", ["pdf_page", "id", "at"], terms.THRESHOLD)
     return best.select("book_id", "key", "score", "pdf_page", "id", "at")
 
