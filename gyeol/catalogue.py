@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-for _name in ("text", "search", "joins", "pages", "lexicon", "terms", "evidence", "usage", "reading", "dictionary"):
+for _name in ("text", "search", "joins", "pages", "lexicon", "terms", "evidence", "usage", "reading", "dictionary", "concepts"):
     _module = importlib.import_module(f"gyeol.queries.{_name}")
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

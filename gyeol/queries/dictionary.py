@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gyeol.functions import hangul
-from gyeol.functions.text import term_key
-from gyeol.operators import dictionary, lexicon
+from gyeol.functions.text import compact, term_key
+from gyeol.operators import concepts, dictionary, lexicon
 from gyeol.plans import question
 from gyeol.queries.registry import Registry
 from gyeol.queries.terms import _ENTRIES, _entries
@@ -177,3 +177,28 @@ def index_labels(spark: SparkSession, d: str) -> DataFrame:
     first = counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("key", "label")
     variants = counts.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("variants"))
     return first.join(variants, "key")
+
+
+@query(f"""WITH m AS (SELECT word AS wrong, key AS "right" FROM ({ORACLE['misread_index_terms']})) SELECT "right", array_to_string(list(wrong ORDER BY wrong), ',') AS spellings FROM m GROUP BY "right\"""")
+def damaged_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """The damaged spellings of each index term."""
+    wrong = misread_index_terms(spark, d).select(F.col("word").alias("wrong"), F.col("key").alias("right"))
+    return lexicon.by_correct(wrong).select("right", F.array_join("spellings", ",").alias("spellings"))
+
+
+@query()
+def concept_match(spark: SparkSession, d: str) -> DataFrame:
+    """Index terms that the titles of the books name, and those that are a part of a longer word of them."""
+    titles = [r.title for r in table(spark, d, "books").select("title").distinct().orderBy("title").collect()]  # 26 titles
+    grams = spark.createDataFrame([(t, g) for t in titles for g in question.ngrams(t)], "question string, gram string")
+    labels = _sources(spark, d).groupBy("key").agg(F.min("label").alias("label"))
+    return concepts.matched(grams, labels.select(F.col("key").alias("concept"), F.col("key").alias("name"), compact(F.col("label")).alias("body")))
+
+
+@query(f"""WITH {_SOURCES}, h AS (SELECT DISTINCT book, key FROM src) SELECT book, key FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.book = h.book AND length(o.key) > length(h.key) AND contains(o.key, h.key))""")
+def containment_suppression(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of each book's index without those inside a longer one of the same book: every part of a term is a key."""
+    h = _sources(spark, d).select("book", "key").distinct()
+    parts = F.expr("array_distinct(flatten(transform(sequence(1, length(key)), n -> transform(sequence(1, length(key) - n + 1), i -> substring(key, i, n)))))")
+    inside = h.where(F.length("key") > 1).select("book", F.col("key").alias("long"), F.explode(parts).alias("key")).where("long <> key").select("book", "key").distinct()
+    return h.join(inside, ["book", "key"], "left_anti")

@@ -56,14 +56,14 @@ def position_within_book(spark: SparkSession, d: str) -> DataFrame:
     return _searches(spark, d).select("book_id", nth.alias("nth"), "id")
 
 
-_RESULTS = [("name", "a", 1), ("name", "b", 4), ("name", "c", None), ("name", "d", 2), ("paraphrase", "a", 9), ("paraphrase", "b", 3), ("paraphrase", "b", 1)]
-
-
-@query("""WITH r(mode, query, rank) AS (VALUES ('name','a',1),('name','b',4),('name','c',NULL),('name','d',2),('paraphrase','a',9),('paraphrase','b',3),('paraphrase','b',1)), f AS (SELECT mode, query, min(rank) AS r FROM r GROUP BY ALL)
-SELECT mode, avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END) AS hit1, avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0 END) AS hit3, avg(CASE WHEN r <= 8 THEN 1.0 ELSE 0 END) AS hit8, round(avg(coalesce(1 / r, 0)), 6) AS mrr, count(*) AS queries FROM f GROUP BY mode""")
+@query(f"""WITH {_RANKS}, m AS (SELECT book_id AS mode, grp AS q, CASE WHEN chars > 200 THEN rank + 1 END AS rank FROM k WHERE rank < 40),
+f AS (SELECT mode, q, min(rank) AS r FROM m GROUP BY ALL)
+SELECT mode, round(avg(CASE WHEN coalesce(r, 99) <= 1 THEN 1.0 ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN coalesce(r, 99) <= 3 THEN 1.0 ELSE 0 END), 6) AS hit3, round(avg(CASE WHEN coalesce(r, 99) <= 8 THEN 1.0 ELSE 0 END), 6) AS hit8, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr, count(*) AS queries FROM f GROUP BY mode""")
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(_RESULTS, "mode string, query string, rank int")
-    return evaluate.retrieval_metrics(rows, "mode", "query", "rank").withColumn("mrr", F.round("mrr", 6))
+    """Hit rates and mean reciprocal rank of four searches in each book, where long passages are the right ones."""
+    r = _searches(spark, d).select(F.col("book_id").alias("mode"), F.col("grp").alias("query"), F.when(F.col("chars") > 200, F.col("rank") + 1).alias("rank"))
+    m = evaluate.retrieval_metrics(r, "mode", "query", "rank")
+    return m.select("mode", *(F.round(c, 6).alias(c) for c in ("hit1", "hit3", "hit8", "mrr")), "queries")
 
 
 @query()
@@ -75,28 +75,6 @@ def best_quotes(spark: SparkSession, d: str) -> DataFrame:
     return evidence.best_quote(claims, quotes, "passage_id").select("passage_id", "claim_id", F.md5("quote").alias("quote"), F.round("score", 4).alias("score"))
 
 
-_SOURCES = [("S1", "모음은 공기의 흐름이 막히지 않고 나는 소리이다. 자음은 흐름이 막혀 나는 소리이다."), ("S2", "운율은 소리의 규칙적인 되풀이에서 생긴다. 운율은 시의 느낌을 만든다.")]
-_ANSWER = (
-    '{"id":"a1","title":"소리","insufficient":false,"sections":[{"title":"소리","points":[{"text":"모음의 뜻","citations":[{"source":"S1","quote":"모음은 공기의 흐름이 막히지 않고 나는 소리이다."}]},'
-    '{"text":"없는 말","citations":[{"source":"S2","quote":"운율은 글자의 모양에서 생긴다고 널리 알려져 있다."}]},{"text":"출처 없음","citations":[]},'
-    '{"text":"모르는 출처","citations":[{"source":"S1","quote":""},{"source":"S9","quote":""}]},{"text":"빈 인용","citations":[{"source":"S2","quote":""}]}]}]}'
-)
-
-
-@query("SELECT * FROM (VALUES ('a1', 0, '모음의 뜻', true), ('a1', 1, '없는 말', false), ('a1', 2, '출처 없음', false), ('a1', 3, '모르는 출처', false), ('a1', 4, '빈 인용', true)) t(id, point, text, valid)")
-def citation_validation(spark: SparkSession, d: str) -> DataFrame:
-    answers = spark.createDataFrame([(_ANSWER,)], "j string").select(F.from_json("j", evidence.ANSWER).alias("a")).select("a.*")
-    sources = spark.createDataFrame(_SOURCES, "source string, text string")
-    return evidence.validated(evidence.claims_of(answers), sources).select("id", "point", "text", "valid")
-
-
-@query("SELECT * FROM (VALUES ('t2', '국어교육론', 3)) t(key, stem, volume)")
-def volume_check(spark: SparkSession, d: str) -> DataFrame:
-    texts = spark.createDataFrame([("t1", "국어교육론 2를 보라"), ("t2", "국어교육론 3에 있다"), ("t3", "문학사전집 7")], "key string, text string")
-    books = spark.createDataFrame([("국어교육론", 1), ("국어교육론", 2)], "stem string, volume int")
-    return evidence.volumes_missing(texts, books, "key", "text")
-
-
 @query("SELECT doc_id, source, category, n_chars FROM documents WHERE category IS NOT NULL")
 def closed_projection(spark: SparkSession, d: str) -> DataFrame:
     """What a reader without rights sees: an allow list of fields, the text dropped from the nested row."""

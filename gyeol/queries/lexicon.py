@@ -86,20 +86,11 @@ def synonym_expansion(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.expand(tokens, spark.createDataFrame(_ALIASES, "grp int, name string"))
 
 
-_FIXES = [("흩문장", "홑문장"), ("흘문장", "홑문장"), ("모움", "모음"), ("자움", "자음")]
-
-
-@query("SELECT right_ AS \"right\", array_to_string(list(wrong ORDER BY wrong), ',') AS spellings FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _FIXES) + ") t(wrong, right_) GROUP BY right_")
-def damaged_spellings(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(_FIXES, "wrong string, right string")
-    return lexicon.by_correct(rows).select("right", F.array_join("spellings", ",").alias("spellings"))
-
-
 @query("""WITH l AS (SELECT g.book_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM (SELECT DISTINCT id, book_id, text FROM pages) g),
-h AS (SELECT line FROM l GROUP BY book_id, line HAVING count(*) >= 8) SELECT line, count(*) AS n FROM l WHERE line NOT IN (SELECT line FROM h) AND line <> '' AND length(line) <= 20 GROUP BY line""")
+h AS (SELECT line FROM l GROUP BY book_id, line HAVING count(*) >= 8) SELECT line, count(*) AS n FROM l WHERE line NOT IN (SELECT line FROM h) AND line <> '' GROUP BY line""")
 def running_head_removal(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "pages").select("id", "book_id", "text").distinct().select("book_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
-    kept = lexicon.running_heads(lines, "book_id", "line").where("line <> '' AND length(line) <= 20")
+    kept = lexicon.running_heads(lines, "book_id", "line").where("line <> ''")
     return kept.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 

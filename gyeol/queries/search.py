@@ -72,11 +72,6 @@ def rare_phrase_focus(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(rare[1], rare[0])] if rare else [], "phrase string, df bigint")
 
 
-@query("SELECT id FROM passages WHERE false")
-def scope_of_unknown_category(spark: SparkSession, d: str) -> DataFrame:
-    return _scope(spark, d, "없는 갈래").select("id")
-
-
 @query(f"WITH {_SCOPE} SELECT category, count(*) AS passages, count(DISTINCT page_id) AS pages FROM scope GROUP BY category")
 def scope_counts(spark: SparkSession, d: str) -> DataFrame:
     return _scope(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("passages"), F.count_distinct("page_id").alias("pages"))

@@ -33,12 +33,6 @@ def index_entries(spark: SparkSession, d: str) -> DataFrame:
     return _entries(spark, d).select("id", "line_no", "term", "page")
 
 
-@query("SELECT * FROM (VALUES ('명사구', 273), ('명사구', 321), ('명사형 어미', 171), ('명사형 어미', 176)) t(term, page)")
-def index_line(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("명사구    Z73, 321\n명사형 어미     17l, 176",)], "text string")
-    return terms.index_entries(rows, "text").select("term", "page")
-
-
 @query(f"WITH {_ENTRIES} SELECT id, count(*) AS entries, count(DISTINCT term) AS terms FROM entries GROUP BY id HAVING count(*) >= 8")
 def index_passages(spark: SparkSession, d: str) -> DataFrame:
     return _entries(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("term").alias("terms")).where("entries >= 8")
@@ -93,58 +87,6 @@ def best_definitions(spark: SparkSession, d: str) -> DataFrame:
     return best.select("book_id", "key", "score", "pdf_page", "id", "at")
 
 
-_HITS = [("q1", "문장"), ("q1", "안긴문장"), ("q1", "관형절"), ("q2", "대명사"), ("q2", "재귀대명사"), ("q2", "사")]
-
-
-@query("WITH h(q, term) AS (VALUES " + ", ".join(f"('{q}', '{t}')" for q, t in _HITS) + ") SELECT q, term FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.q = h.q AND length(o.term) > length(h.term) AND contains(o.term, h.term))")
-def containment_suppression(spark: SparkSession, d: str) -> DataFrame:
-    return terms.suppressed(spark.createDataFrame(_HITS, "q string, term string"), "q", "term")
-
-
-_QUESTIONS = [("q1", "재귀 대명사는 무엇인가요?"), ("q2", "안긴문장과 이어진문장의 차이"), ("q3", "시의 운율")]
-_CONCEPTS = [("c1", "재귀 대명사", "재귀칭", "재귀 대명사는 앞의 말을 다시 가리킨다."), ("c2", "대명사", "대이름씨", "대명사는 이름을 대신한다."), ("c3", "안긴문장", "내포절", "안긴문장은 다른 문장 안에 든다."), ("c4", "운율", "리듬", "운율은 소리의 되풀이이다.")]
-
-
-@query("SELECT * FROM (VALUES ('q1', 'c1', 'exact', '재귀대명사'), ('q1', 'c2', 'related', '대명사'), ('q2', 'c3', 'exact', '안긴문장'), ('q3', 'c4', 'exact', '운율')) t(q, concept, match, term)")
-def concept_match(spark: SparkSession, d: str) -> DataFrame:
-    """Concepts that a question names, and those whose name is a part of a longer word of it and stands in their text."""
-    grams = spark.createDataFrame([(q, g) for q, t in _QUESTIONS for g in question.ngrams(t)], "q string, gram string")
-    names = spark.createDataFrame([(c, n.replace(" ", ""), b.replace(" ", "")) for c, label, alias, b in _CONCEPTS for n in (label, alias)], "concept string, name string, body string")
-    exact = grams.join(names, grams.gram == names.name).select("q", "concept", F.lit("exact").alias("match"), F.col("name").alias("term"))
-    # a name inside a longer gram: every part of a gram is a key
-    parts = grams.select("q", "gram", F.explode(F.expr("array_distinct(flatten(transform(sequence(1, length(gram)), i -> transform(sequence(1, length(gram) - i + 1), n -> substring(gram, i, n)))))")).alias("name")).where("name <> gram")
-    related = parts.join(names, "name").where(F.contains("body", "name")).select("q", "concept", F.lit("related").alias("match"), F.col("name").alias("term")).distinct()
-    longest = exact.groupBy("q").agg(F.max_by("term", F.length("term")).alias("top"))
-    best = exact.unionByName(related).withColumn("o", F.when(F.col("match") == "exact", 0).otherwise(1))
-    w = Window.partitionBy("q", "concept").orderBy("o", F.desc(F.length("term")), "term")
-    one = best.withColumn("r", F.row_number().over(w)).where("r = 1").join(longest, "q", "left")
-    # an exact name that lies inside the longest exact one is background
-    demoted = (F.col("match") == "exact") & (F.col("top") != F.col("term")) & F.contains("top", "term")
-    return one.select("q", "concept", F.when(demoted, "related").otherwise(F.col("match")).alias("match"), "term")
-
-
-_ENTRIES_JSON = [
-    '{"id":"c1","summary":"요약","sections":[{"heading":"뜻","items":["하나",{"label":"둘","text":"설명","examples":["보기"],"sub":[{"label":"셋","text":"더"}]}]}]}',
-    '{"id":"c2","summary":"다른 것","sections":[]}',
-]
-
-
-@query("SELECT * FROM (VALUES ('c1', '요약 뜻 하나 둘 설명 보기 셋 더'), ('c2', '다른 것')) t(id, prose)")
-def entry_prose(spark: SparkSession, d: str) -> DataFrame:
-    """Nested entries of two generations as prose: items are strings or objects, read as text and parsed one by one."""
-    e = spark.createDataFrame([(x,) for x in _ENTRIES_JSON], "j string")
-    e = e.select(F.from_json("j", "id string, summary string, sections array<struct<heading:string,intro:string,items:array<string>>>").alias("e")).select("e.*")
-    sub = "label string, text string, examples array<string>, sub array<struct<label:string,text:string>>"
-
-    def item(x):
-        o = F.from_json(x, sub)
-        words = F.flatten(F.array(F.array(o["label"], o["text"]), F.coalesce(o["examples"], F.array().cast("array<string>")), F.flatten(F.coalesce(F.transform(o["sub"], lambda s: F.array(s["label"], s["text"])), F.array().cast("array<array<string>>")))))
-        return F.when(x.startswith("{"), words).otherwise(F.array(x))
-
-    prose = F.flatten(F.transform("sections", lambda s: F.concat(F.array(s["heading"], s["intro"]), F.flatten(F.transform(s["items"], item)))))
-    return e.select("id", F.concat_ws(" ", F.array_compact(F.concat(F.array("summary"), prose))).alias("prose"))
-
-
 @query("SELECT id, title, year // 10 * 10 AS decade FROM (SELECT doc_id AS id, regexp_extract(text, '『([^』]+)』', 1) AS title, TRY_CAST(regexp_extract(text, '[(]((?:19|20)[0-9]{2})[)]', 1) AS INTEGER) AS year FROM documents) WHERE title <> '' AND year IS NOT NULL")
 def reading_list_titles(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract("text", "『([^』]+)』", 1).alias("title"), F.regexp_extract("text", "[(]((?:19|20)[0-9]{2})[)]", 1).alias("y"))
@@ -169,14 +111,12 @@ def card_sources(spark: SparkSession, d: str) -> DataFrame:
     return s.select("term", "title", "page", F.row_number().over(Window.partitionBy("term").orderBy(*order)).alias("place"))
 
 
-@query("SELECT * FROM (VALUES ('국어교육론', '1,2,3'), ('현대문학사', '2')) t(stem, volumes)")
-def stem_volumes(spark: SparkSession, d: str) -> DataFrame:
-    titles = spark.createDataFrame([("국어교육론 1",), ("국어교육론2",), ("국어교육론 3",), ("현대문학사 2",), ("시론 1",), ("문법",)], "title string")
-    return terms.volumes(titles, "title").select("stem", F.array_join(F.transform("volumes", lambda v: v.cast("string")), ",").alias("volumes"))
-
-
-@query("""WITH s(p, i, ok) AS (VALUES ('a', 0, true), ('a', 1, true), ('a', 2, false), ('a', 3, true), ('b', 0, true))
-SELECT x.p AS p, x.i AS first, y.i AS last FROM s x JOIN s y ON x.p = y.p AND y.i BETWEEN x.i AND x.i + 5 WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.p = x.p AND z.i BETWEEN x.i AND y.i AND NOT z.ok)""")
+@query("""WITH p AS (SELECT DISTINCT id, display FROM passages WHERE display IS NOT NULL),
+l AS (SELECT id, list_filter(list_transform(string_split(regexp_replace(display, '([다요까][.!?。][”’'']?)(\\s|$)', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM p),
+s AS (SELECT DISTINCT id, i, length(l[i + 1]) BETWEEN 15 AND 80 AS ok FROM (SELECT id, l, unnest(range(0, len(l))) AS i FROM l))
+SELECT x.id AS id, x.i AS first, y.i AS last FROM s x JOIN s y ON x.id = y.id AND y.i BETWEEN x.i AND x.i + 5 WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.id = x.id AND z.i BETWEEN x.i AND y.i AND NOT z.ok)""")
 def sentence_runs(spark: SparkSession, d: str) -> DataFrame:
-    s = spark.createDataFrame([("a", 0, True), ("a", 1, True), ("a", 2, False), ("a", 3, True), ("b", 0, True)], "p string, i int, ok boolean")
-    return terms.sentence_runs(s, "p", "i", F.col("ok"))
+    """Runs of up to six neighbouring sentences of middling length in every passage."""
+    p = table(spark, d, "passages").where("display IS NOT NULL").select("id", "display").distinct()
+    s = p.select("id", F.posexplode(split_sentences(F.col("display"))).alias("i", "s")).select("id", "i", F.length("s").between(15, 80).alias("ok")).distinct()
+    return terms.sentence_runs(s, "id", "i", F.col("ok"))

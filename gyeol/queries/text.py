@@ -111,18 +111,6 @@ def dictionary_order(spark: SparkSession, d: str) -> DataFrame:
     return words.unionByName(latin).where("label IS NOT NULL").distinct().select("label", key["rank"].alias("rank"), key["initial"].alias("initial"))
 
 
-_GOLDEN = (
-    ("국물", "궁물", "비음화"), ("닫는", "단는", "비음화"), ("부엌문", "부엉문", "비음화,음절의 끝소리 규칙"), ("신라", "실라", "유음화"), ("같이", "가치", "구개음화"), ("물약", "물략", "ㄴ 첨가,유음화"),
-    ("국밥", "국빱", "된소리되기"), ("축하", "추카", "거센소리되기"), ("놓아", "노아", "ㅎ 탈락"), ("닭", "닥", "자음군 단순화"), ("피어", "피여", "반모음 첨가"), ("국어", "구거", ""),
-)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _GOLDEN) + ") t(spelling, said, changes)")
-def sound_changes(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(a, b) for a, b, _ in _GOLDEN], "spelling string, said string")
-    return rows.select("spelling", "said", F.concat_ws(",", hangul.sound_changes("spelling", "said")).alias("changes"))
-
-
 @query("SELECT id, regexp_replace(sentence, '(은|는|이|가|을|를|의|과|와|에)$', '') AS stem FROM (SELECT id, unnest(regexp_extract_all(display, '[가-힣]{5}(은|는|을|를|의|과|와)( |$)')) AS s0, trim(s0) AS sentence FROM passages)")
 def stripped_particles(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "passages").select("id", F.explode(F.regexp_extract_all("display", F.lit("[가-힣]{5}(?:은|는|을|를|의|과|와)(?: |$)"), F.lit(0))).alias("w"))
