@@ -103,7 +103,7 @@ s1 AS (SELECT *, (w0 * (1 + ln(1 + least(6, {_TIMES('c', '독서', '읽기')})))
   + 0.7 * least(8, {_FOUND('c', '한다|된다|이다|있다|없다|뜻하|의미하|가리키|말한다|이라|해야|통해|때문|과정|전략|구분|나뉘|예를')}) AS s FROM k, w),
 s2 AS (SELECT *, CASE WHEN {_IN.format('c')} THEN s ELSE s * 0.6 END
   + CASE WHEN regexp_matches(c[1:220], '(?:독서|읽기)(?:의)?과정(?:은|는|이란|란)') THEN 18 ELSE 0 END
-  + CASE WHEN regexp_matches(c, '단계|구분|나누|나뉘|과정은') THEN 12 ELSE 0 END + 4 * least(5, {_FOUND('c', '[가-힣]{{2,8}}하기')})
+  + CASE WHEN regexp_matches(c, '단계|구분|나누|나뉘|과정은') THEN 12 ELSE 0 END + 4 * least(5, {_FOUND('c', '[가-힣]{2,8}하기')})
   + CASE WHEN regexp_matches(c, '나누|나뉘|분류|대별|구분') THEN 10 ELSE 0 END
   + CASE WHEN regexp_matches(display[1:180], '(?:^|[^가-힣])(?:독[\\s\\p{{Z}}]*서|읽[\\s\\p{{Z}}]*기)[\\s\\p{{Z}}]*(?:은|는|란|이란|의[\\s\\p{{Z}}]*(?:종류|분류|개념))') THEN 8 ELSE 0 END
   + CASE WHEN regexp_matches(display[1:180], '(?:^|[^가-힣])과[\\s\\p{{Z}}]*정[\\s\\p{{Z}}]*(?:은|는|란|이란|의[\\s\\p{{Z}}]*(?:종류|분류|개념))') THEN 8 ELSE 0 END
