@@ -44,26 +44,33 @@ _SEPARATORS = frozenset("#>»|·/★")
 _FUNCTION = frozenset("the of and to in a is that it for on with as by an this at from or be are not".split())
 
 
+NUMBER, URL = "<number>", "<url>"
+
+
 def plain(texts: list[str]) -> list[str]:
     """Texts without markup and entities, in one consistent form, in lower case."""
     return [t.lower() for t in canonical([_MARKUP.sub(" ", html.unescape(t)) if "<" in t or "&" in t else t for t in texts])]
 
 
-def words_of(text: str) -> list[str]:
-    out = []
-    for w in _WORD.findall(text):
-        if w[0] in "hw" and _URL.match(w):
-            out.append("<url>")
-        elif w.isdigit():
-            out.append("<number>")
-        elif len(w) > LONG_WORD:
-            out += [w[i : i + 2] for i in range(len(w) - 1)]
-        else:
-            out.append(w)
+def _named(token: str) -> tuple[str, ...]:
+    if token[0] in "hw" and _URL.match(token):
+        return (URL,)
+    if token.isdigit():
+        return (NUMBER,)
+    return tuple(token[i : i + 2] for i in range(len(token) - 1)) if len(token) > LONG_WORD else (token,)
+
+
+def words_of(text: str, seen: dict[str, tuple[str, ...]] | None = None) -> list[str]:
+    """Words of a line; `seen` keeps what tokens stand for."""
+    seen = {} if seen is None else seen
+    out: list[str] = []
+    for token in _WORD.findall(text):
+        if token not in seen:
+            seen[token] = _named(token)
+        out += seen[token]
     return out
 
 
-NUMBER, URL = "<number>", "<url>"
 
 
 def hashed(word: str) -> int:
@@ -88,66 +95,76 @@ def set_aside(line: str, words: list[str]) -> bool:
     return len(named) >= 3 and first >= 0.7 * len(named) and ("," in line or ":" in line)
 
 
-def weighed(text: str) -> tuple[int, int, dict[tuple[str, str], list]]:
-    """(visible characters, words, and for each pair of neighbouring words how often it occurs and the characters it stands for)."""
-    pairs: dict[tuple[str, str], list] = {}
-    total = count = 0
-    before = None
-    for line in text.split("\n"):
-        size = sum(map(len, line.split()))
-        if not size:
-            continue
-        total += size
-        words = words_of(line)
-        if not words:
-            continue
-        count += len(words)
-        here = list(zip(words, words[1:], strict=False))
-        for p in here if before is None else [(before, words[0]), *here]:
-            pairs.setdefault(p, [0, 0.0])[0] += 1
-        before = words[-1]
-        if not set_aside(line, words):
-            here = here or [(words[0], words[0])]
-            for p in here:
-                pairs.setdefault(p, [0, 0.0])[1] += size / len(here)
-    return total, count, pairs
+def weighed_pairs(texts: list[str]) -> tuple[list[int], list[int], list[int], dict[str, np.ndarray]]:
+    """Visible characters, words, and number of different pairs of each plain text, and columns of all pairs, text by text.
+
+    Of a pair of neighbouring words: its hash, those of its words (a, b), how often it occurs (n), how often its words
+    stand first (na) and second (nb), 0 below AT_LEAST and for numbers, and the characters that it stands for (weight). A line's characters are
+    shared out among its pairs; the one word of a line stands for a pair with itself that doesn't occur.
+    """
+    index: dict[str, int] = {}
+    seen: dict[str, tuple[str, ...]] = {}
+    words, per_line, per_text, sizes, aside, visible = [], [], [], [], [], []
+    for text in texts:
+        before = len(words)
+        shown = 0
+        for line in text.split("\n"):
+            size = sum(map(len, line.split()))
+            if not size:
+                continue
+            shown += size
+            here = words_of(line, seen)
+            if here:
+                words += [index.setdefault(w, len(index)) for w in here]
+                per_line.append(len(here)), sizes.append(size), aside.append(set_aside(line, here))
+        total = len(words) - before
+        visible.append(shown), per_text.append(total)
+    w, lengths = np.array(words, dtype=np.int64), np.array(per_line, dtype=np.int64)
+    line, text_of = np.repeat(np.arange(len(lengths)), lengths), np.repeat(np.arange(len(texts)), per_text)
+    open_, size = ~np.array(aside, dtype=bool), np.array(sizes, dtype=np.float64)
+    i = np.flatnonzero(text_of[1:] == text_of[:-1])
+    inside = (line[i] == line[i + 1]) & open_[line[i]]
+    weight = np.where(inside, size[line[i]] / np.maximum(lengths[line[i]] - 1, 1), 0.0)
+    alone = np.flatnonzero((lengths[line] == 1) & open_[line]) if len(w) else i
+    # entries: every occurrence of a pair, and the lone words
+    doc = np.r_[text_of[i], text_of[alone]]
+    a, b = np.r_[w[i], w[alone]], np.r_[w[i + 1], w[alone]]
+    n, weight = np.r_[np.ones(len(i)), np.zeros(len(alone))], np.r_[weight, size[line[alone]]]
+    v = max(1, len(index))
+    key, inverse = np.unique((doc * v + a) * v + b, return_inverse=True)
+    n, weight = np.bincount(inverse, n, len(key)), np.bincount(inverse, weight, len(key))
+    doc, a, b = key // (v * v), key // v % v, key % v
+
+    def times(side: np.ndarray) -> np.ndarray:
+        _, at = np.unique(doc * v + side, return_inverse=True)
+        c = np.bincount(at, n)[at] if len(at) else n
+        return np.where((c < AT_LEAST) | (side == index.get(NUMBER, -1)), 0, c)
+
+    hashes = np.array([hashed(x) for x in index] or [0], dtype=np.int64)
+    marks = np.isin(hashes, _MARKS)
+    with np.errstate(over="ignore"):
+        pair = hashes[a] * np.int64(-7046029254386353131) + (hashes[b] ^ (hashes[b] >> 29))
+    columns = {"pair": pair, "a": hashes[a], "b": hashes[b], "n": n.astype(np.int32), "na": times(a).astype(np.int32), "nb": times(b).astype(np.int32), "weight": weight.astype(np.float32), "ma": marks[a], "mb": marks[b]}
+    return visible, per_text, np.bincount(doc, minlength=len(texts)).tolist(), columns
 
 
 def _pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, visible, words, pairs: of every pair its words as 64-bit hashes, how often it occurs (n), how often its words
-    stand first and second in a pair (na, nb), and the characters it stands for (weight)."""
+    """key, visible, words, pairs (see weighed_pairs; ma and mb say whether a word is a mark)."""
     kind = df.schema[key].dataType.simpleString()
-    fields = (("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("na", pa.int32()), ("nb", pa.int32()), ("weight", pa.float32()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        visible, count, size = [], [], []
-        flat: list[list] = [[] for _ in fields]
-        hashes: dict[str, int] = {}
-        for t in plain(batch.column(1).to_pylist()):
-            total, words, pairs = weighed(t)
-            visible.append(total), count.append(words), size.append(len(pairs))
-            first, second = Counter(), Counter()
-            for (x, y), (n, _) in pairs.items():
-                first[x] += n
-                second[y] += n
-            for w in first.keys() | second.keys():
-                if w not in hashes:
-                    hashes[w] = hashed(w)
-            for (x, y), (n, weight) in pairs.items():
-                na, nb = (0 if w == NUMBER else c for w, c in ((x, first[x]), (y, second[y])))
-                for column, value in zip(flat, (hashes[x], hashes[y], n, na, nb, weight), strict=True):
-                    column.append(value)
-        items = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(flat, fields, strict=True)], names=[n for n, _ in fields])
+        visible, count, size, columns = weighed_pairs(plain(batch.column(1).to_pylist()))
+        items = pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
         pairs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), items)
         return batch_of(**{key: batch.column(0)}, visible=(visible, pa.int64()), words=(count, pa.int64()), pairs=pairs)
 
     rows = df.select(key, F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    return arrow_map(rows, run, f"`{key}` {kind}, visible bigint, words bigint, pairs array<struct<a:bigint,b:bigint,n:int,na:int,nb:int,weight:float>>")
+    return arrow_map(rows, run, f"`{key}` {kind}, visible bigint, words bigint, pairs array<struct<pair:bigint,a:bigint,b:bigint,n:int,na:int,nb:int,weight:float,ma:boolean,mb:boolean>>")
 
 
 def pair_information(pairs: DataFrame) -> tuple[DataFrame, int]:
-    """(a, b, c, ca, cb, npmi) of every pair of the corpus, from counts over all documents, and the number of all pairs."""
-    counts = materialised(pairs.groupBy("a", "b").agg(F.sum("n").alias("c")))
+    """(pair, c, ca, cb, npmi) of every pair of the corpus, from counts over all documents, and the number of all pairs."""
+    counts = materialised(pairs.groupBy("pair").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("n").alias("c")))
     total = counts.agg(F.sum("c")).first()[0] or 1
     sides = [materialised(counts.groupBy(w).agg(F.sum("c").alias(f"c{w}"))) for w in ("a", "b")]
     for w, side in zip(("a", "b"), sides, strict=True):
@@ -155,7 +172,7 @@ def pair_information(pairs: DataFrame) -> tuple[DataFrame, int]:
     p = F.col("c") / total
     pmi = F.log(F.col("c") * F.lit(float(total)) / (F.col("ca") * F.col("cb").cast("double")))
     npmi = F.when(F.col("c") <= 0, None).when(p >= 1, 1.0).otherwise(pmi / -F.log(p))
-    return counts.select("a", "b", "c", "ca", "cb", npmi.alias("npmi")), total
+    return counts.select("pair", "c", "ca", "cb", npmi.cast("float").alias("npmi")), total
 
 
 def coherence(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -166,14 +183,14 @@ def coherence(df: DataFrame, key: str, text: str) -> DataFrame:
     neither is suspicious. Each row counts as a document; repeated keys give repeated rows.
     """
     docs = materialised(_pairs(df, key, text).withColumn("_row", F.monotonically_increasing_id()))
-    exploded = docs.select("_row", F.explode("pairs").alias("p"), F.greatest(F.col("words") - 1, F.lit(1)).alias("size")).select("_row", "size", "p.*")
+    exploded = docs.select("_row", F.explode("pairs").alias("p"), F.greatest(F.col("words") - 1, F.lit(1)).cast("int").alias("size")).select("_row", "size", "p.*")
     information, total = pair_information(exploded)
-    scored = exploded.join(information, ["a", "b"])
+    scored = exploded.drop("a", "b").join(information, "pair")
     # what a page has of a pair or word, against the rest of the corpus
     rest = lambda here, all_of: F.col("size") * (F.col(all_of) - F.col(here) + 0.5) / total
     pair = (F.col("n") >= AT_LEAST) & (F.col("n") >= PAIR_EXCESS * F.col("size") * (F.col("c") - F.col("n")) / total)
     left, right = ((F.col(here) >= AT_LEAST) & (F.col(here) >= WORD_EXCESS * rest(here, all_of)) for here, all_of in (("na", "ca"), ("nb", "cb")))
-    excess = pair | (left & right) | (left & F.col("a").isin(_MARKS)) | (right & F.col("b").isin(_MARKS))
+    excess = pair | (left & right) | (left & F.col("ma")) | (right & F.col("mb"))
     n = F.sum("n")
     means = scored.groupBy("_row").agg(
         F.try_divide(F.sum(F.col("n") * F.col("npmi")), n).alias("npmi"),
