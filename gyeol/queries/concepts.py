@@ -43,7 +43,10 @@ def concept_items(spark: SparkSession, d: str) -> DataFrame:
     return items.select("id", "item", "heading", "label", F.md5("text").alias("digest"), F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 
-@query()
+@query(f"""WITH i AS (SELECT page_id, n, dense_rank() OVER (PARTITION BY page_id ORDER BY kind) - 1 AS section, {sql_compact("kind || CASE WHEN n = 1 THEN '' ELSE 'N' || n END || display")} AS c FROM ({_ITEMS})),
+h AS (SELECT page_id, section, n, CAST(contains(c, '모음') AS INTEGER) + CAST(contains(c, '대명사') AS INTEGER) AS hits FROM i WHERE n > 1),
+f AS (SELECT page_id, min((-hits, page_id, section, n)) AS o FROM h WHERE hits > 0 GROUP BY page_id)
+SELECT page_id AS page, row_number() OVER (ORDER BY o, page_id) AS place FROM f QUALIFY place <= 12""")
 def concept_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages on which the entries that hold a question's words rest."""
     items = concepts.concept_items(_entries(spark, d), "j")
@@ -66,7 +69,9 @@ def evidence_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return concepts.paragraphs(p, split_sentences(F.col("display"))).select("page_id", "id", "kind", F.size("quotes").alias("quotes"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT DISTINCT page_id, id, ordinal, kind, display FROM passages WHERE coalesce(kind, '') NOT IN ('margin', 'index', 'catalog', 'exercise') AND len(regexp_extract_all(display, '[가-힣A-Za-z]')) >= 3),
+s AS (SELECT page_id, len(list_filter(list_transform(string_split(regexp_replace(display, '([다요까][.!?。][”’'']?)(\s|$)', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) BETWEEN 20 AND 500)) AS q FROM p)
+SELECT page_id, count(*) AS paragraphs, sum(q) AS quotes FROM s WHERE page_id IN (SELECT g.id FROM pages g JOIN books b ON g.book_id = b.id) GROUP BY page_id""")
 def evidence_packets(spark: SparkSession, d: str) -> DataFrame:
     """What a model reads of every page, with the registry that its evidence ids resolve through."""
     p = table(spark, d, "passages").select("page_id", "id", "ordinal", "kind", "display").distinct()
@@ -74,7 +79,8 @@ def evidence_packets(spark: SparkSession, d: str) -> DataFrame:
     label = concepts.page_label(F.col("printed_page"), F.col("number_status"), F.col("pdf_page"))
     labels = table(spark, d, "pages").groupBy(F.col("id").alias("page_id")).agg(F.min(F.struct("book_id", label.alias("page"))).alias("x")).select("page_id", "x.book_id", "x.page").join(F.broadcast(books), "book_id").drop("book_id")
     packets = concepts.packet(concepts.paragraphs(p, split_sentences(F.col("display"))), labels)
-    return packets.select("page_id", F.md5("packet").alias("digest"), F.size("registry").alias("paragraphs"))
+    quotes = F.aggregate(F.map_values("registry"), F.lit(0), lambda n, q: n + F.size(q))
+    return packets.select("page_id", F.size("registry").alias("paragraphs"), quotes.alias("quotes"))
 
 
 @query("""SELECT DISTINCT id, CASE WHEN number_status IN ('sequence', 'manual', 'offset') AND coalesce(printed_page, 0) > 0 THEN printed_page || '쪽' WHEN pdf_page IS NOT NULL THEN 'PDF ' || pdf_page || '쪽' END AS label FROM pages""")
@@ -139,6 +145,7 @@ def entry_sizes(spark: SparkSession, d: str) -> DataFrame:
     return items.groupBy("id").agg(F.count(F.lit(1)).alias("items"), F.sum(F.when(F.col("item") == 0, F.length("text")).otherwise(own)).alias("chars"))
 
 
-@query()
+@query(f"""SELECT CAST(page_id AS VARCHAR) AS id, md5(string_agg(CASE WHEN n = 1 THEN kind || CASE WHEN display = '' THEN '' ELSE ' ' || display END ELSE 'N' || n || CASE WHEN display = '' THEN '' ELSE ' ' || display END || ' 예: 보기' END, ' ' ORDER BY kind, n)) AS digest
+FROM ({_ITEMS}) GROUP BY page_id""")
 def entry_prose(spark: SparkSession, d: str) -> DataFrame:
     return concepts.entry_prose(_entries(spark, d), "j").select("id", F.md5("prose").alias("digest"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gyeol.functions.text import split_sentences
 from gyeol.operators import evaluate, evidence
-from gyeol.queries.registry import Registry
+from gyeol.queries.registry import Registry, compact
 from gyeol.sources import table
 
 query = Registry()
@@ -66,7 +66,16 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return m.select("mode", *(F.round(c, 6).alias(c) for c in ("hit1", "hit3", "hit8", "mrr")), "queries")
 
 
-@query()
+def _pairs(column: str) -> str:
+    k = compact(column)
+    return f"list_distinct(list_transform(range(1, length({k})), lambda i: ({k})[i:i + 1]))"
+
+
+@query(rf"""WITH c AS (SELECT DISTINCT passage_id, id AS claim_id, {_pairs('excerpt')} AS b FROM chunks WHERE excerpt IS NOT NULL), p AS (SELECT DISTINCT id AS passage_id, display FROM passages WHERE display IS NOT NULL),
+s AS (SELECT passage_id, trim(unnest(string_split(regexp_replace(display, '([다요까][.!?。][”’'']?)(\s|$)', '\1' || chr(1), 'g'), chr(1)))) AS quote FROM p),
+q AS (SELECT passage_id, quote, {_pairs('quote')} AS b FROM s WHERE quote <> ''),
+j AS (SELECT c.passage_id, claim_id, quote, len(list_intersect(c.b, q.b)) / (sqrt(len(q.b)) + 1) AS score FROM c JOIN q USING (passage_id))
+SELECT passage_id, claim_id, md5(quote) AS quote, round(score, 4) AS score FROM j QUALIFY row_number() OVER (PARTITION BY passage_id, claim_id ORDER BY score DESC, abs(length(quote) - 260), quote) = 1""")
 def best_quotes(spark: SparkSession, d: str) -> DataFrame:
     """For each chunk the sentence of its passage that shares most with the chunk's excerpt."""
     claims = table(spark, d, "chunks").where("excerpt IS NOT NULL").select("passage_id", F.col("id").alias("claim_id"), F.col("excerpt").alias("claim")).distinct()

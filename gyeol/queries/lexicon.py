@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gyeol.operators import evaluate, lexicon
-from gyeol.queries.registry import Registry
+from gyeol.queries.registry import Registry, compact
 from gyeol.sources import table
 
 query = Registry()
@@ -120,15 +120,21 @@ def length_buckets(spark: SparkSession, d: str) -> DataFrame:
     return g.select("bucket", F.col("c").alias("n"), F.when(F.col("bucket") == 0, F.col("used")).otherwise(F.col("bucket") * F.col("c")).alias("padded"), "used")
 
 
-@query()
+_SHARES = f"""c AS (SELECT DISTINCT id, page_id, {compact('text')} AS n FROM chunks WHERE text IS NOT NULL), p AS (SELECT DISTINCT id AS page_id, {compact('text')} AS s FROM pages WHERE text IS NOT NULL),
+a AS (SELECT id, page_id, n, unnest(range(1, length(n) - 18)) AS pos FROM c WHERE length(n) >= 20), h AS (SELECT DISTINCT a.id, a.pos FROM a JOIN p USING (page_id) WHERE contains(p.s, a.n[a.pos:a.pos + 19])),
+o AS (SELECT id, pos, least(20, pos - lag(pos, 1, -20) OVER (PARTITION BY id ORDER BY pos)) AS fresh FROM h), k AS (SELECT id, sum(fresh) AS covered FROM o GROUP BY id),
+share AS (SELECT c.id, round(coalesce(covered / nullif(max(length(n)), 0), 0), 6) AS share FROM c LEFT JOIN k USING (id) GROUP BY c.id, covered)"""
+
+
+@query(f"WITH {_SHARES} SELECT id, share FROM share")
 def copy_share(spark: SparkSession, d: str) -> DataFrame:
     """Share of every chunk's characters that stand in runs of 20 that its page has."""
     pages = table(spark, d, "pages").where("text IS NOT NULL").select(F.col("id").alias("page_id"), "text").distinct()
     chunks = table(spark, d, "chunks").where("text IS NOT NULL").select("id", "page_id", F.col("text").alias("note")).distinct()
-    return evaluate.copied_share(chunks, pages, "id", "page_id", "note", "text")
+    return evaluate.copied_share(chunks, pages, "id", "page_id", "note", "text").select("id", F.round("share", 6).alias("share"))
 
 
-@query()
+@query(f"WITH {_SHARES} SELECT CASE WHEN share >= 0.6 THEN '0.6' WHEN share >= 0.3 THEN '0.3' WHEN share >= 0.2 THEN '0.2' ELSE '0' END AS band, count(*) AS n FROM share GROUP BY band")
 def copy_bands(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.bands(copy_share(spark, d), "share")
 
