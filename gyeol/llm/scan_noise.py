@@ -423,9 +423,12 @@ def repaired_texts(df: DataFrame, keys: list[str], text: str, title: str, page:
     context = with_context(items, keys)
     lower = F.when(F.col("word").rlike("^[A-Za-z]"), F.lower("word")).otherwise(F.col("word"))
     context = context.withColumn("shown", F.col("word")).withColumn("word", lower)
-    best = materialised(chosen(found, context))
-    n = best.count()
-    swaps = sized_join(context, best, ["word", "before", "after"], "inner", n).groupBy(*keys).agg(F.collect_list(F.struct("line_no", "shown", "repair")).alias("swaps"))
+    # bigrams are looked up only for words that have several repairs
+    sole = materialised(found.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("repair").alias("repair")).where("n = 1").select("word", "repair"))
+    several = materialised(found.join(sole.select("word"), "word", "left_anti"))
+    best = materialised(chosen(several, context))
+    swaps = sized_join(context, sole, ["word"]).unionByName(sized_join(context, best, ["word", "before", "after"]))
+    swaps = swaps.groupBy(*keys).agg(F.collect_list(F.struct("line_no", "shown", "repair")).alias("swaps"))
     marks = lines.groupBy(*keys).agg(F.collect_list(F.struct("line_no", "noise")).alias("marks"))
     first = df.where(F.col(text).isNotNull()).groupBy(*keys).agg(F.min(F.struct(F.col(text).alias("t"), F.col(title).alias("b"), F.col(page).alias("p"))).alias("x"))
     rows = first.join(marks, keys, "left").join(swaps, keys, "left").select(*keys, "x.t", "x.b", "x.p", "marks", "swaps")
