@@ -94,3 +94,27 @@ def without_meta(text):
     """A text without the sentences that name the process instead of the subject."""
     sentences = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001")
     return F.array_join(F.filter(sentences, lambda s: ~s.rlike("제공된 (자료|근거)|근거 자료|검색 결과|주어진 (자료|문서)")), " ")
+
+
+def collected(searches: list[DataFrame], pages: DataFrame, most: int = MOST_RESULTS, budget: tuple[int, int] = (MOST_PAGES, MOST_CHARS)) -> DataFrame:
+    """page_id, place, chars: the pages of the evidence for a planned question.
+
+    searches: ranked results (id, page_id, book_id, rank) of each planned search, few rows each; pages: id, book_id,
+    pdf_page, chars. Results are taken in turn with a cap for each book, then the page after and the page before each chosen one, and of
+    all these what fits into the pages and characters allowed.
+    """
+    from functools import reduce
+
+    from gyeol.operators.pages import adjacent
+
+    ranked = [s.select(F.lit("q").alias("question"), F.lit(i).alias("grp"), "book_id", "id", "page_id", (F.col("rank") - 1).alias("rank")) for i, s in enumerate(searches)]
+    chosen = round_robin(reduce(lambda a, b: a.unionByName(b), ranked), "question", "book_id", "rank", "grp", most)
+    first = chosen.groupBy("page_id").agg(F.min("place").alias("place"))
+    at = first.join(pages.select(F.col("id").alias("page_id"), "book_id", "pdf_page"), "page_id")
+    beside = adjacent(at.select("book_id", "pdf_page"), pages.select("id", "book_id", "pdf_page")).select(F.col("id").alias("page_id"), F.when(F.col("side") == "next", 1).otherwise(2).alias("turn"))
+    # pages beside a chosen one come after all chosen ones, those that follow first
+    wanted = first.select("page_id", F.lit(0).alias("turn"), "place").unionByName(beside.select("page_id", "turn", F.lit(0).alias("place")))
+    order = wanted.groupBy("page_id").agg(F.min(F.struct("turn", "place", "page_id")).alias("o"))
+    w = Window.partitionBy(F.lit(0)).orderBy("o")  # three pages for each of `most` results
+    rows = order.join(pages.select(F.col("id").alias("page_id"), "chars"), "page_id").select(F.lit("q").alias("question"), "page_id", F.row_number().over(w).alias("place"), "chars")
+    return within_budget(rows, "question", "place", "chars", *budget).drop("question")

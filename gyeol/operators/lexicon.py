@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = "[가-힣]{2,}"
+#: Names in an alias dictionary beyond which it is shuffled instead of broadcast.
+MOST_ALIASES = 10_000
 
 
 def words(df: DataFrame, text: str, *keys: str, pattern: str = WORD) -> DataFrame:
@@ -84,7 +86,8 @@ def expand(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
 
     aliases: grp, name; a dictionary of fixed size.
     """
-    a = F.broadcast(aliases)
+    # broadcast only while it is as small as such a dictionary is
+    a = F.broadcast(aliases) if len(aliases.take(MOST_ALIASES + 1)) <= MOST_ALIASES else aliases
     grp = tokens.join(a.withColumnRenamed("name", "token"), "token", "left").groupBy("token").agg(F.min("grp").alias("grp"))
     return grp.join(a, "grp", "left").select("token", F.coalesce("name", "token").alias("name"))
 

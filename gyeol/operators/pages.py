@@ -12,24 +12,40 @@ def one_row_per_page(pages: DataFrame) -> DataFrame:
 
 
 def neighbour_confirmed(pages: DataFrame) -> DataFrame:
-    """book_id, pdf_page, candidate where the page before has the number before and the page after the number after."""
-    w = Window.partitionBy("book_id").orderBy("pdf_page")
-    p, n = F.col("pdf_page"), F.col("candidate")
-    before, after = (f("candidate").over(w) for f in (F.lag, F.lead))
-    before_page, after_page = (f("pdf_page").over(w) for f in (F.lag, F.lead))
-    held = (before_page == p - 1) & (before == n - 1) & (after_page == p + 1) & (after == n + 1) & (n != 0)
-    return pages.select("book_id", "pdf_page", "candidate", held.alias("held")).where("held").drop("held")
+    """book_id, pdf_page, candidate where the page before has the number before and the page after the number after.
+
+    Equi joins on book, page and number, so that no book's pages meet in one task.
+    """
+    rows = pages.select("book_id", "pdf_page", "candidate").where("candidate <> 0")
+    beside = lambda step: pages.select("book_id", (F.col("pdf_page") + step).alias("pdf_page"), (F.col("candidate") + step).alias("candidate"))
+    keys = ["book_id", "pdf_page", "candidate"]
+    return rows.join(beside(1), keys, "left_semi").join(beside(-1), keys, "left_semi")
+
+
+#: Pages of a book that one task orders at a time.
+BLOCK = 4096
 
 
 def gap_fill(pages: DataFrame, confirmed: str = "printed_page") -> DataFrame:
-    """book_id, pdf_page, number, status: unconfirmed pages between two confirmed ones of equal offset are filled."""
-    back = Window.partitionBy("book_id").orderBy("pdf_page").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("book_id").orderBy("pdf_page").rowsBetween(0, Window.unboundedFollowing)
-    offset = F.when(F.coalesce(F.col(confirmed), F.lit(0)) != 0, F.col("pdf_page") - F.col(confirmed))
-    lo, hi = F.last(offset, ignorenulls=True).over(back), F.first(offset, ignorenulls=True).over(ahead)
-    status = F.when(offset.isNotNull(), "confirmed").when(lo == hi, "offset")
-    number = F.when(offset.isNotNull(), F.col(confirmed)).when(lo == hi, F.col("pdf_page") - lo)
-    return pages.select("book_id", "pdf_page", number.cast("int").alias("number"), status.alias("status"))
+    """book_id, pdf_page, number, status: unconfirmed pages between two confirmed ones of equal offset are filled.
+
+    A book is ordered block by block; the last and first offset of each block are carried over to its neighbours.
+    """
+    p = F.col("pdf_page")
+    offset = F.when(F.coalesce(F.col(confirmed), F.lit(0)) != 0, p - F.col(confirmed))
+    rows = pages.select("book_id", "pdf_page", F.col(confirmed).alias("_n"), offset.alias("_o"), F.floor(p / BLOCK).alias("_b"))
+    ends = rows.groupBy("book_id", "_b").agg(F.max_by("_o", F.when(F.col("_o").isNotNull(), p)).alias("_last"), F.min_by("_o", F.when(F.col("_o").isNotNull(), p)).alias("_first"))
+    blocks = Window.partitionBy("book_id").orderBy("_b")
+    carried = ends.select(
+        "book_id", "_b", F.last("_last", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("_after")
+    )
+    rows = rows.join(carried, ["book_id", "_b"])
+    within = Window.partitionBy("book_id", "_b").orderBy("pdf_page")
+    lo = F.coalesce(F.last("_o", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)), "_before")
+    hi = F.coalesce(F.first("_o", ignorenulls=True).over(within.rowsBetween(0, Window.unboundedFollowing)), "_after")
+    status = F.when(F.col("_o").isNotNull(), "confirmed").when(lo == hi, "offset")
+    number = F.when(F.col("_o").isNotNull(), F.col("_n")).when(lo == hi, p - lo)
+    return rows.select("book_id", "pdf_page", number.cast("int").alias("number"), status.alias("status"))
 
 
 def mode_offset(pages: DataFrame, number: str = "printed_page") -> DataFrame:

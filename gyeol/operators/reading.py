@@ -252,3 +252,48 @@ def with_window(df: DataFrame, raw: str, display: str, groups: Groups) -> DataFr
         return pd.DataFrame(found, columns=["excerpt", "window"])
 
     return df.withColumn("_w", window(raw, display)).select(*df.columns, "_w.excerpt", "_w.window").where(F.col("window").isNotNull())
+
+
+# --- pages ---------------------------------------------------------------------------------------------------------
+#: Syllables that a note needs to be shown.
+LEAST_NOTE = 40
+
+
+def _reading(kind: str, raw: str, display: str, lists: shown.Lists) -> tuple[str, str, int, list[str]] | None:
+    """(heading, text, suspect stretches, clean blocks) of a passage as a reader sees it; None if it isn't shown."""
+    if kind == "body":
+        heading, rest_raw, rest = shown.split_heading(raw, shown.restore_terms(display))
+        segments = shown.suspect_segments(shown.tidy_display(rest_raw, rest, lists)[0], lambda s: noise(s) > 0)
+        texts = [(shown.correct_display(t, lists)[0] or "", flag) for t, flag in segments]
+        # doubtful until corrected is not doubtful
+        doubtful = [t for t, flag in texts if flag and noise(t)]
+        return (shown.correct_display(heading, lists)[0] or "", " ".join(t for t, _ in texts), len(doubtful), clean_blocks(raw, display)) if texts else None
+    if kind == "note" and (len(re.findall("[가-힣]", display)) < LEAST_NOTE or noise(display)):
+        return None
+    if kind in ("note", "exercise"):
+        return "", shown.shown_text(raw, display, lists)[0] or "", 0, [shown.restore_terms(display)] if kind == "note" else []
+    return None
+
+
+def page_readings(passages: DataFrame, known: DataFrame, lists: shown.Lists) -> DataFrame:
+    """page_id, id, ordinal, kind, heading, text, suspects, clean: what a reader sees of each page, passage by passage.
+
+    Running text with its heading cut off and doubtful stretches counted, notes without damage, exercises, and tables
+    worth showing (known: word). Margins and other kinds, null texts and texts without a glyph are not shown.
+    """
+    rows = passages.where("raw IS NOT NULL AND display IS NOT NULL").select("page_id", "id", "ordinal", "kind", "raw", "display").distinct()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            read = [_reading(k, a, b, lists) for k, a, b in zip(pdf["kind"], pdf["raw"], pdf["display"], strict=True)]
+            kept = [r is not None for r in read]
+            found = [r for r in read if r is not None]
+            yield pdf[kept][["page_id", "id", "ordinal", "kind"]].assign(heading=[r[0] for r in found], text=[r[1] for r in found], suspects=[r[2] for r in found], clean=[r[3] for r in found])
+
+    schema = "page_id bigint, id bigint, ordinal int, kind string, heading string, text string, suspects int, clean array<string>"
+    prose = rows.where(F.col("kind").isin("body", "note", "exercise")).mapInPandas(run, schema)
+    tables = rows.where("kind = 'table'")
+    good = readable_tables(tables, "id", "raw", known).where("readable").select("id")
+    cells = F.array_join(F.transform(table_rows(F.col("raw")), lambda r: F.array_join(r, "\t")), "\n")
+    laid = tables.join(good, "id", "left_semi").select("page_id", "id", F.col("ordinal").cast("int").alias("ordinal"), "kind", F.lit("").alias("heading"), cells.alias("text"), F.lit(0).alias("suspects"), F.array().cast("array<string>").alias("clean"))
+    return prose.unionByName(laid)

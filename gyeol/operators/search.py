@@ -286,3 +286,15 @@ def fused(lexical: DataFrame, dense: DataFrame, key: str = "id", keep: int = LEX
     known = best.join(dense, key, "left").select(key, (100 * F.coalesce("cosine", F.lit(0.0)) + LEXICAL_WEIGHT * F.col("score")).alias("score"), F.lit("lexical").alias("match"))
     new = dense.where(F.col("cosine") >= floor).join(best.select(key), key, "left_anti").select(key, (100 * F.col("cosine")).alias("score"), F.lit("semantic").alias("match"))
     return known.unionByName(new)
+
+
+def retrieve(scope: DataFrame, question: str, known: Sequence[str] = (), limit: int = 8) -> DataFrame:
+    """Answers to a question, or to the first of its shorter forms that has any: each is probed for one row."""
+    from gyeol.plans.question import asked, groups, relaxed
+
+    tried = None
+    for q in [question, *relaxed(question, known)]:
+        tried = answers(scope, asked(q, groups(q, known)), limit)
+        if tried.take(1):
+            break
+    return tried

@@ -165,12 +165,12 @@ def ocr_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return q.select("page_id", verdict.alias("verdict"))
 
 
-@query(r"""WITH w AS (SELECT DISTINCT word FROM source_words WHERE length(word) BETWEEN 4 AND 8), k AS (SELECT DISTINCT word, word[1:2] AS l, word[3:] AS r FROM w),
+@query(r"""WITH w AS (SELECT DISTINCT word, unnest(range(2, length(word) - 1)) AS i FROM source_words WHERE length(word) >= 4), k AS (SELECT DISTINCT word, word[1:i] AS l, word[i + 1:] AS r FROM w),
 t AS (SELECT list_filter(regexp_split_to_array(trim(display, ' '), '\s+'), lambda x: true) AS t FROM passages WHERE display IS NOT NULL), s AS (SELECT word, count(*) AS joined FROM (SELECT unnest(t) AS word FROM t) GROUP BY word),
 p AS (SELECT unnest(list_transform(generate_series(1, len(t) - 1), lambda i: {'l': t[i], 'r': t[i + 1]})) AS p FROM t WHERE len(t) > 1), q AS (SELECT p.l AS l, p.r AS r, count(*) AS spaced FROM p GROUP BY ALL),
 c AS (SELECT k.word, max(coalesce(joined, 0)) AS joined, sum(coalesce(spaced, 0)) AS spaced FROM k LEFT JOIN s USING (word) LEFT JOIN q ON q.l = k.l AND q.r = k.r GROUP BY k.word)
 SELECT word, joined, CAST(spaced AS BIGINT) AS spaced, (joined >= 3 AND (spaced <= 0.03 * (joined + spaced) OR (length(word) >= 3 AND spaced <= 1 AND joined >= 8))) OR (length(word) >= 4 AND joined >= 1 AND spaced = 0) AS accepted FROM c""")
 def joined_spellings(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "source_words").select("word").distinct().where("length(word) BETWEEN 4 AND 8")
-    keys = w.select(F.substring("word", 1, 2).alias("left_part"), F.expr("substring(word, 3)").alias("right_part"))
+    w = table(spark, d, "source_words").select("word").distinct().where("length(word) >= 4").withColumn("i", F.expr("explode(sequence(2, length(word) - 2))"))
+    keys = w.select(F.expr("substring(word, 1, i)").alias("left_part"), F.expr("substring(word, i + 1)").alias("right_part"))
     return lexicon.spacing(table(spark, d, "passages").where("display IS NOT NULL"), "display", keys)

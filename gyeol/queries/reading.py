@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gyeol.functions import display as shown
-from gyeol.operators import lexicon, reading
+from gyeol.operators import build, lexicon, reading
 from gyeol.queries.registry import WS, Registry, compact
 from gyeol.sources import table
 
@@ -66,3 +66,32 @@ SELECT id, coalesce(len(cells) > 0 AND length(body) >= 30 AND len(regexp_extract
 def readable_tables(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "passages")
     return reading.readable_tables(p.where("kind IN ('table', 'note') AND raw IS NOT NULL"), "id", "raw", lexicon.vocabulary(p, "display"))
+
+
+@query()
+def page_readings(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader sees of every page."""
+    p = table(spark, d, "passages")
+    rows = reading.page_readings(p, lexicon.vocabulary(p, "display"), _lists(spark, d))
+    return rows.select("page_id", "id", "kind", "heading", F.md5("text").alias("digest"), "suspects", F.size("clean").alias("blocks"))
+
+
+@query("""WITH p AS (SELECT DISTINCT page_id, ordinal, raw, display, text_version FROM passages WHERE raw IS NOT NULL), v AS (SELECT max(text_version) AS v FROM p),
+n AS (SELECT DISTINCT page_id, ordinal, raw FROM p, v WHERE text_version = v), o AS (SELECT page_id, raw, min(display) AS display FROM p, v WHERE text_version < v AND display IS NOT NULL GROUP BY page_id, raw)
+SELECT n.page_id AS page_id, ordinal, md5(n.raw) AS raw, o.display IS NOT NULL AS reused FROM n LEFT JOIN o ON n.page_id = o.page_id AND n.raw = o.raw""")
+def reused_displays(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of the newest version, and whether an earlier one of the page with the same characters lends its display."""
+    p = table(spark, d, "passages").where("raw IS NOT NULL").select("page_id", "ordinal", "raw", "display", "text_version").distinct()
+    newest = p.agg(F.max("text_version").alias("v")).scalar()
+    new = p.where(F.col("text_version") == newest).select("page_id", "ordinal", "raw").distinct()
+    rows = build.with_former_display(new, p.where(F.col("text_version") < newest))
+    return rows.select("page_id", "ordinal", F.md5("raw").alias("raw"), F.col("display").isNotNull().alias("reused"))
+
+
+@query("""WITH t AS (SELECT id, min(text) AS text FROM pages WHERE text IS NOT NULL GROUP BY id), l AS (SELECT DISTINCT id, sha256(text) AS digest FROM t WHERE id % 3 <> 0 UNION SELECT id, sha256(text || 'x') FROM t WHERE id % 3 = 0)
+SELECT id FROM t WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.id = t.id AND l.digest = sha256(t.text))""")
+def changed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose text is not the one that the ledger of the last build knows; here every third page has changed since."""
+    pages = table(spark, d, "pages").where("text IS NOT NULL").groupBy("id").agg(F.min("text").alias("text"))
+    ledger = pages.select("id", F.sha2(F.when(F.col("id") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("digest"))
+    return build.changed(pages, ledger, "id", "text").select("id")

@@ -192,3 +192,21 @@ def label_similarity(spark: SparkSession, d: str) -> DataFrame:
     q = e.orderBy("vec_id").select("embedding").first()[0]
     similar = dense.similarity(e, "vec_id", "embedding", q)
     return e.select("vec_id", "label").join(similar, "vec_id").groupBy("label").agg(F.round(F.max("cosine"), 5).alias("cosine"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def relaxed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers to a question whose quoted sentence no passage has: its shorter form is answered."""
+    q = "'두 사람이 손을 잡고 걷는다.'는 안긴문장인가?"
+    return search.retrieve(_scope(spark, d), q, ["안긴문장", "모음"], LIMIT).select("id", "page_id", F.round("score", 3).alias("score"), "rank")
+
+
+@query()
+def planned_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of evidence for a question that was planned as three searches."""
+    from gyeol.operators import evidence
+
+    scope = _scope(spark, d)
+    plans = [question.asked(q, question.groups(q)) for q in ("안긴문장의 종류", "모음의 뜻", "대명사의 기능")]
+    pages = table(spark, d, "pages").groupBy("id").agg(F.min(F.struct("book_id", "pdf_page", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))).alias("p")).select("id", "p.*")
+    return evidence.collected([search.answers(scope, a, 24) for a in plans], pages, budget=(32, 20_000))

@@ -118,3 +118,24 @@ def test_bullets_and_sentences(spark):
     kept = lambda asked: {r.id for r in rows.where(F.coalesce(search.kind_admissible(F.col("kind"), F.col("raw"), asked), F.lit(False))).collect()}
     assert kept(None) == {1, 3} and kept(question.asked("표를 보여줘", [("표",)])) == {1, 3, 5}
     assert search.scoped(rows.withColumn("page_id", F.col("id")), spark.createDataFrame([(1, "b", 1, 1, "q")], "id int, book_id string, pdf_page int, printed_page int, quality string"), spark.createDataFrame([("b", "t", "문법")], "id string, title string, category string"), "없는 갈래").count() == 0
+
+
+def test_builds(spark):
+    from gyeol.operators import build
+
+    rows = spark.createDataFrame([(1, "가"), (2, "나"), (3, None)], "id int, text string")
+    ledger = rows.where("id = 1").select("id", F.sha2("text", 256).alias("digest"))
+    assert {r.id for r in build.changed(rows, ledger, "id", "text").collect()} == {2, 3}
+    lengths = build.with_engine(rows, "text", "size", "int", lambda: lambda texts: [len(t) for t in texts])
+    assert {r.id: r.size for r in lengths.collect()} == {1: 1, 2: 1, 3: None}
+    vectors = build.with_engine(rows, "text", "vec", "array<double>", lambda: lambda texts: [[float(ord(t[0])), 1.0] for t in texts])
+    assert {r.id: r.vec for r in vectors.collect()}[3] is None
+
+
+def test_evidence_of_a_plan(spark):
+    pages = spark.createDataFrame([(i, "a" if i < 10 else "b", i, 100) for i in range(1, 20)], "id int, book_id string, pdf_page int, chars int")
+    one = spark.createDataFrame([(51, 5, "a", 1), (52, 8, "a", 2)], "id int, page_id int, book_id string, rank int")
+    two = spark.createDataFrame([(61, 15, "b", 1), (51, 5, "a", 2)], "id int, page_id int, book_id string, rank int")
+    got = [r.page_id for r in evidence.collected([one, two], pages, budget=(32, 1000)).orderBy("place").collect()]
+    assert got == [5, 15, 8, 6, 9, 16, 4, 7, 14]
+    assert len(evidence.collected([one, two], pages, budget=(4, 1000)).collect()) == 4

@@ -135,3 +135,15 @@ def test_definitions(sentence, key, longer, want):
 def test_pronunciations(spark, text, want):
     rows = spark.createDataFrame([(1, text)], "id int, t string")
     assert sorted((r.spelling, r.said, r.changes) for r in hangul.named_changes(rows, "t", "id").collect()) == sorted(want)
+
+
+def test_gaps_across_blocks(spark, monkeypatch):
+    rows = [("b", p, n) for p, n in [(1, None), (2, 1), (3, None), (5, None), (9, 8), (10, None), (11, 20), (12, None)]]
+    df = spark.createDataFrame(rows, "book_id string, pdf_page int, printed_page int")
+    want = None
+    for size in (4096, 3, 1):
+        monkeypatch.setattr(pages, "BLOCK", size)
+        got = sorted((r.pdf_page, r.number, r.status) for r in pages.gap_fill(df).collect())
+        want = want or got
+        assert got == want
+    assert want == [(1, None, None), (2, 1, "confirmed"), (3, 2, "offset"), (5, 4, "offset"), (9, 8, "confirmed"), (10, None, None), (11, 20, "confirmed"), (12, None, None)]
