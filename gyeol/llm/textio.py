@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if its measured size stays below this many rows.
+#: A side of a join is broadcast only if it stays below this many counted rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 #: Rows that a Python worker takes at once.
 ROWS = 2048
 
@@ -62,10 +63,15 @@ def materialised(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """What the optimizer expects of the size of df: for a materialised table that of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
-    """Broadcast `small` (a materialised table) only when its counted rows stay under BROADCAST_ROWS; else shuffle both."""
+    """Broadcast `small` (a materialised table) only when its counted rows and its bytes stay under the bounds; else shuffle both."""
     n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
+    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS and planned_bytes(small) <= BROADCAST_BYTES else small, on, how)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

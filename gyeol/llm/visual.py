@@ -21,14 +21,16 @@ from gyeol.llm.textio import arrow_map, batch_of, slices
 #: Letters of other scripts that print as the Latin letter below them.
 LOOK_ALIKE = dict(
     zip(
-        "абвгдеёжзийклмнопрстуфхцчшщъыьэюяѕіјһԁԛԝѵАВЕЅІЈКМНОРСТУХҮԌԚԜαινορυγκΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϹϳ‐‑‒−ˊ",
-        "aбвгдeёжзийклмнoпpcтyфxцчшщъыьэюяsijhdqwvABESIJKMHOPCTYXYGQWαivopuγκABEZHIKMNOPTYXcCj----´",
+        "абвгдеёжзийклмнопрстуфхцчшщъыьэюяѕіјһԁԛԝѵАВЕЅІЈКМНОРСТУХҮԌԚԜαινορυγκΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϹϳ‐‑‒−ˊ"
+        "օոսհզցյՕՏᎪᎳᎷᎬᎢᎫᏟᎠᏚᏢᏀᎻᏦᏃᏞᏙᏴᎡ",
+        "aбвгдeёжзийклмнoпpcтyфxцчшщъыьэюяsijhdqwvABESIJKMHOPCTYXYGQWαivopuγκABEZHIKMNOPTYXcCj----´"
+        "onuhqgjOSAWMETJCDSPGHKZLVBR",
         strict=True,
     )
 )
 NO_GLYPH = {"Cf"}
-#: Compatibility kinds that change only the width or the breaking of a character, not its shape.
-WIDTH_KINDS = ("<wide>", "<narrow>", "<noBreak>")
+#: Compatibility kinds that change only the width, the breaking or the typeface of a character, not which one it is.
+WIDTH_KINDS = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 SPACE = ord(" ")
 
 

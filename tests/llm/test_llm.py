@@ -338,3 +338,8 @@ def test_stuffed(spark):
 @pytest.mark.parametrize("name", ["p2_found", "p4_repaired", "p5_found", "p6_neighbours", "p6_embeddings", "p9_fill", "p10_coherence"])
 def test_runs(spark, small, name):
     assert queries.QUERIES[name](spark, small).count() > 0
+
+
+@pytest.mark.parametrize(("stored", "form"), [("𝐀𝟏", "A1"), ("ᎪᎡ", "AR"), ("օո", "on"), ("Ｆｕｌｌ", "Full"), ("Ⅲ장", "Ⅲ장"), ("ЅІХ", "SIX")])
+def test_look_alikes(stored, form):
+    assert visual.canonical([stored]) == [visual.canonical([form])[0]]
