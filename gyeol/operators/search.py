@@ -51,9 +51,10 @@ def weights(n: int, frequencies: Sequence[int]) -> list[float]:
 
 
 def weight_columns(df: DataFrame, text: str, groups: Groups) -> list[Column]:
-    """The weights of the groups in a scope as scalar subqueries, which the optimizer merges into one pass of the same job."""
+    """The weights of the groups in a scope: fields of one scalar subquery, so that the scope is read once more in the same job."""
     n = F.count(F.lit(1)).cast("double")
-    return [df.agg(F.log(2 + n / (1 + F.count_if(contains_all(F.col(text), [g])))).alias("w")).scalar() for g in groups]
+    w = df.agg(F.struct(*(F.log(2 + n / (1 + F.count_if(contains_all(F.col(text), [g])))).alias(f"w{i}") for i, g in enumerate(groups))).alias("w")).scalar()
+    return [w[f"w{i}"] for i in range(len(groups))]
 
 
 def lexical_score(text: Column, groups: Groups, w: Sequence[float | Column]) -> Column:
