@@ -40,8 +40,8 @@ _SENTENCE = re.compile(r"(?:다|까|라|요|오|네|나|자)[.!?…]|[a-z]{2,}[.
 _INDEX = re.compile(r"^\D+[\s.…·]\d{1,4}(?:\s?[,、~-]\s?\d{1,4})*$")
 _MARKUP = re.compile(r"<[^<>\n]{1,200}>")
 _SEPARATORS = frozenset("#>»|·/★")
-#: English words that running text can't do without.
-_FUNCTION = frozenset("the of and to in a is that it for on with as by an this at from or be are not".split())
+#: English words that running text can't do without (but for a, which stands in product codes too).
+_FUNCTION = frozenset("the of and to in is that it for on with as by an this at from or be are not".split())
 
 
 NUMBER, URL = "<number>", "<url>"
